@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import common, pii, tokencount, topk
+from gristmill.llm import common, mixing, pii, tokencount, topk
 
 BPE_JSON, BPE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
@@ -22,7 +22,11 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(common.table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op4_exact_topk, op5_token_counts)}
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(common.table(spark, sf_dir, "documents")).drop("position")
+
+
+QUERIES = {f.__name__: f for f in (op2_pii, op4_exact_topk, op5_token_counts, op9_mix)}
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_topk": """
         WITH v AS (
@@ -38,4 +42,29 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
             FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op9_mix": r"""
+        WITH sized AS (
+            SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS mixed,
+                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+            FROM documents),
+        per_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+        ranked AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS n, 3 * source_size AS filled FROM per_source),
+        weighed AS (SELECT *, CAST(n % 3 + 1 AS BIGINT) AS weight FROM ranked),
+        lines AS (
+            SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(filled) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+                      / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS line
+            FROM weighed WINDOW o AS (ORDER BY filled / weight, n)),
+        water AS (SELECT line AS level FROM lines WHERE line * weight <= filled ORDER BY filled / weight, n LIMIT 1),
+        targets AS (
+            SELECT source, source_size,
+                   CASE WHEN level IS NULL OR level * weight > filled THEN CAST(filled AS DOUBLE) ELSE level * weight END AS target
+            FROM lines LEFT JOIN water ON TRUE),
+        placed AS (
+            SELECT doc_id, size, source_size, target, CAST(round(target) AS BIGINT) AS words,
+                   coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY mixed, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target,
+               CAST(coalesce(words // nullif(source_size, 0), 0) * size
+                    + least(size, greatest(0, words - coalesce(words // nullif(source_size, 0), 0) * source_size - before)) AS BIGINT) AS taken
+        FROM placed""",
 }
