@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import common, mixing, pii, tokencount, topk
+from gristmill.llm import common, mixing, pii, simple8b, tokencount, topk
 
 BPE_JSON, BPE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
@@ -18,6 +18,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(common.table(spark, sf_dir, "documents")).drop("masked")
 
 
+def op3_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simple8b.token_files(common.table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_JSON), public_tokenizers.PATTERN, end_id=0)
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(common.table(spark, sf_dir, "embeddings"), k=10, every=100)
 
@@ -26,7 +30,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents")).drop("position")
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op4_exact_topk, op5_token_counts, op9_mix)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_simple8b_files, op4_exact_topk, op5_token_counts, op9_mix)}
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_topk": """
         WITH v AS (
