@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import common, mixing, pii, simple8b, tokencount, topk
+from gristmill.llm import bpe_duckdb, common, mixing, pii, simple8b, tokencount, topk
 
 BPE_JSON, BPE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
@@ -26,11 +26,15 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(common.table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_duckdb.encode_and_decode(common.table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents")).drop("position")
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_simple8b_files, op4_exact_topk, op5_token_counts, op9_mix)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_simple8b_files, op4_exact_topk, op5_token_counts, op8_bpe_round_trip, op9_mix)}
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_topk": """
         WITH v AS (
