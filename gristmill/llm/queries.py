@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import bpe_duckdb, common, html, mixing, pii, simple8b, tokencount, topk
+from gristmill.llm import bpe_duckdb, common, html, mixing, nbsvm, pii, simple8b, tokencount, topk
 
 BPE_JSON, BPE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
@@ -26,6 +26,10 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(common.table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(common.table(spark, sf_dir, "pages"))
 
@@ -38,7 +42,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents")).drop("position")
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_simple8b_files, op4_exact_topk, op5_token_counts, op7_main_text, op8_bpe_round_trip, op9_mix)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_simple8b_files, op4_exact_topk, op5_token_counts, op6_quality, op7_main_text, op8_bpe_round_trip, op9_mix)}
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_topk": """
         WITH v AS (
