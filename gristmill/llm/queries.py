@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import bpe_duckdb, common, html, mixing, nbsvm, pii, simple8b, tokencount, topk
+from gristmill.llm import bpe_duckdb, common, html, iblt, mixing, nbsvm, pii, simple8b, tokencount, topk
 
 BPE_JSON, BPE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
@@ -42,7 +42,11 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents")).drop("position")
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_simple8b_files, op4_exact_topk, op5_token_counts, op6_quality, op7_main_text, op8_bpe_round_trip, op9_mix)}
+def op10_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_pii, op3_simple8b_files, op4_exact_topk, op5_token_counts, op6_quality, op7_main_text, op8_bpe_round_trip, op9_mix, op10_iblt_fingerprints)}
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_topk": """
         WITH v AS (
