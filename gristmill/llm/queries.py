@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import bpe_duckdb, common, html, iblt, mixing, nbsvm, pii, simple8b, tokencount, topk
+from gristmill.llm import bpe_duckdb, common, html, iblt, minhash, mixing, nbsvm, pii, simple8b, tokencount, topk
 
 BPE_JSON, BPE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
@@ -14,6 +14,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(common.table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_JSON), public_tokenizers.PATTERN)
 
 
+def op1_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(common.table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(common.table(spark, sf_dir, "documents")).drop("masked")
 
@@ -46,8 +50,29 @@ def op10_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprints(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_simple8b_files, op4_exact_topk, op5_token_counts, op6_quality, op7_main_text, op8_bpe_round_trip, op9_mix, op10_iblt_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_minhash_groups, op2_pii, op3_simple8b_files, op4_exact_topk, op5_token_counts, op6_quality, op7_main_text, op8_bpe_round_trip, op9_mix, op10_iblt_fingerprints)}
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_groups": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                                ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+            FROM words),
+        items AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+        pairs AS (
+            SELECT a.doc_id AS u, b.doc_id AS v
+            FROM items a JOIN items b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n
+            HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        reach(doc_id, node) AS (
+            SELECT doc_id, doc_id FROM sets
+            UNION
+            SELECT r.doc_id, p.v FROM reach r JOIN pairs p ON p.u = r.node),
+        least AS (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
+        FROM sets s JOIN least USING (doc_id)""",
     "op4_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
