@@ -21,7 +21,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import materialize, prepare, texts
@@ -288,3 +288,15 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     out = members.join(found, F.col("first_id") == F.col("node"), "left")
     component = F.coalesce("component", "first_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the document of the smallest id.
+
+    Of several rows with that id the one whose text has the least hash stays; rows with a null
+    ``doc_id`` have no links and stay.
+    """
+    kept = groups(docs, width, percent).where("kept").select("doc_id").distinct()
+    one = Window.partitionBy("doc_id").orderBy(F.md5(F.coalesce("text", F.lit(""))))
+    known = docs.join(kept, "doc_id", "left_semi").withColumn("_place", F.row_number().over(one)).where("_place = 1")
+    return known.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

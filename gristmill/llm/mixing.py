@@ -60,7 +60,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, til
     """The mix's plan, one row per document in training order.
 
     Columns: ``doc_id, size`` (words), ``source_size, target, taken`` (words that the mix takes,
-    repeats counted) and ``position``, the training time of the first take, null if none.
+    repeats counted), ``position``, the training time of the first take, null if none, and
+    ``positions``, those of all takes.
 
     Within a source, documents stand in an order by hash; the mix passes through it until the
     target is met, so each document is taken as often as whole passes go and the last pass ends
@@ -89,5 +90,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, til
     passes = F.coalesce(F.floor(F.try_divide(words, F.col("source_size"))), F.lit(0)).cast("long")
     rest = words - passes * F.col("source_size")
     taken = passes * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("before")))
-    position = F.when(F.col("taken") > 0, F.least(F.lit(1.0), inverse_demand(F.col("before").cast("double"), F.col("target"), F.col("tilt"))))
-    return placed.withColumn("taken", taken).withColumn("position", position).select("doc_id", "size", "source_size", "target", "taken", "position").orderBy(F.asc_nulls_last("position"), "doc_id")
+    takes = F.filter(F.sequence(F.lit(0), F.lit(cap)), lambda p: p * F.col("size") < F.col("taken"))
+    times = F.transform(takes, lambda p: F.least(F.lit(1.0), inverse_demand((F.col("before") + p * F.col("source_size")).cast("double"), F.col("target"), F.col("tilt"))))
+    placed = placed.withColumn("taken", taken).withColumn("positions", times).withColumn("position", F.try_element_at("positions", F.lit(1)))
+    return placed.select("doc_id", "size", "source_size", "target", "taken", "position", "positions").orderBy(F.asc_nulls_last("position"), "doc_id")
+
+
+def apply_mix(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` as the mix takes them: whole documents, repeated as planned, in training order.
+
+    A last take of under half a document is left out, one of at least half becomes whole.  Rows of
+    equal ``doc_id`` (null too) share one plan, that of the largest.
+    """
+    plan = mix(docs, **settings).groupBy("doc_id").agg(F.max_by(F.struct("size", "taken", "positions"), F.struct("size", "taken", "position")).alias("p"))
+    copies = F.coalesce(F.round(F.try_divide(F.col("p.taken"), F.col("p.size"))), F.lit(0)).cast("int")
+    plan = plan.select(F.col("doc_id").alias("plan_id"), F.explode(F.slice("p.positions", F.lit(1), copies)).alias("plan_position"))
+    return docs.join(plan, F.col("doc_id").eqNullSafe(F.col("plan_id"))).orderBy("plan_position", "doc_id").select(*docs.columns)

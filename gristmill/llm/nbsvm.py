@@ -194,6 +194,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return texts(docs).mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def keep(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores at least ``threshold``."""
+    prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, own = Features(), shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(features(t or "")) >= threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold_of(doc_id: str = "doc_id") -> Column:
     """The fold 0 to 3 of an id; fold 2 is held out."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4

@@ -12,8 +12,10 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gristmill.llm.common import prepare, texts
 
@@ -144,3 +146,17 @@ def detect(docs: DataFrame) -> DataFrame:
     kinds = {k: pa.int64() for k in ("n_email", "n_ip", "n_card", "n_phone")} | {k: pa.string() for k in ("base_sha256", "spans", "masked")} | {"top_score": pa.float64()}
     kind = docs.schema["doc_id"].dataType.simpleString()
     return texts(docs).mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, top_score double, masked string")
+
+
+def mask_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` with personal data masked in ``text`` and ``n_chars`` brought up to date.
+
+    Null texts stay null.
+    """
+    prepare(docs.sparkSession)
+
+    @F.pandas_udf("string")
+    def masked(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else mask(t, find_spans(t)))
+
+    return docs.withColumn("text", masked("text")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
