@@ -32,22 +32,25 @@ WORDS, LONG = 20_000, 1_000
 #: Positions and ranks share one 64-bit key.
 _POS_BITS = 20
 
+#: A row's place is ``word << _POS_BITS | position``.
 ENCODE = f"""
-    WITH RECURSIVE tokens(word, pos, id, done) AS (
-        SELECT word, pos, id, FALSE FROM start
+    WITH RECURSIVE tokens(place, id, done) AS (
+        SELECT place, id, FALSE FROM start
         UNION ALL
-        SELECT word, pos, CASE WHEN key = best THEN rank ELSE id END, best IS NULL
-        FROM (
-            SELECT *, min(key) OVER (PARTITION BY word) AS best
-            FROM (
-                SELECT near.*, rank, (CAST(rank AS BIGINT) << {_POS_BITS}) + pos AS key
-                FROM (
-                    SELECT word, pos, id, lead(id) OVER places AS after, lag(pos) OVER places AS left_pos
-                    FROM tokens WHERE NOT done
-                    WINDOW places AS (PARTITION BY word ORDER BY pos)) AS near
-                LEFT JOIN merges ON merges.left_id = near.id AND merges.right_id = near.after))
-        WHERE best IS NULL OR left_pos IS NULL OR left_pos <> (best & {(1 << _POS_BITS) - 1}))
-    SELECT list(id ORDER BY pos) AS ids FROM tokens WHERE done GROUP BY word ORDER BY word"""
+        (WITH near AS (
+            SELECT place, id, lead(id) OVER places AS after, lead(place) OVER places AS right_place
+            FROM tokens WHERE NOT done WINDOW places AS (ORDER BY place)),
+        pairs AS (
+            SELECT near.*, rank, (CAST(rank AS BIGINT) << {_POS_BITS}) + (place & {(1 << _POS_BITS) - 1}) AS key
+            FROM near LEFT JOIN merges
+              ON left_id = id AND right_id = after AND (place >> {_POS_BITS}) = (right_place >> {_POS_BITS})),
+        best AS (SELECT place >> {_POS_BITS} AS word, min(key) AS key FROM pairs GROUP BY 1)
+        SELECT p.place, CASE WHEN p.key = b.key THEN p.rank ELSE p.id END, b.key IS NULL
+        FROM pairs p JOIN best b ON p.place >> {_POS_BITS} = b.word
+        WHERE p.place NOT IN (
+            SELECT q.right_place FROM pairs q JOIN best c ON q.place >> {_POS_BITS} = c.word AND q.key = c.key)))
+    SELECT list(id ORDER BY place) AS ids FROM tokens WHERE done
+    GROUP BY place >> {_POS_BITS} ORDER BY place >> {_POS_BITS}"""
 
 DECODE = """
     SELECT string_agg(piece, '' ORDER BY pos) AS bytes
@@ -71,7 +74,7 @@ class Coder:
         self._table("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": [t.decode("latin-1") for t in self.ranks]}))
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.words: dict[str, bytes] = {}
-        self.cache = PieceCache(self.encode_pieces, limit=500_000)
+        self.cache = PieceCache(self.encode_pieces, limit=900_000, group=2_000_000)
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
@@ -86,7 +89,7 @@ class Coder:
             short = [w for w in raw if len(w) <= LONG]
             lengths = np.array([len(w) for w in short], np.int64)
             places = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            rows = pa.table({"word": np.repeat(np.arange(len(short), dtype=np.int32), lengths), "pos": places.astype(np.int32), "id": self.of_byte[np.frombuffer(b"".join(short), np.uint8)]})
+            rows = pa.table({"place": (np.repeat(np.arange(len(short)), lengths) << _POS_BITS) + places, "id": self.of_byte[np.frombuffer(b"".join(short), np.uint8)]})
             self.db.register("start", rows)
             lists = self.db.sql(ENCODE).to_arrow_table().column(0) if short else pa.chunked_array([[]], pa.list_(pa.int32()))
             self.db.unregister("start")
@@ -126,7 +129,7 @@ class Coder:
         known = self.words
         new = list({w for words in split for w in words if w not in known})
         fresh = dict(zip(new, self.encode_words(new), strict=True)) if new else {}
-        if len(known) + len(fresh) > 200_000:
+        if len(known) + len(fresh) > 400_000:
             known = self.words = {w: known[w] for words in split for w in words if w in known}
         known.update((w, ids) for w, ids in fresh.items() if len(w) <= 48)
         return [b"".join([fresh[w] if w in fresh else known[w] for w in words]) for words in split]
@@ -150,7 +153,7 @@ def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
-def groups(column: pa.Array, most: int = 400_000) -> Iterator[tuple[int, list[str]]]:
+def groups(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
     """Slices of a text column, each of about ``most`` characters: (first row, texts)."""
     first, group, size = 0, [], 0
     for i, text in enumerate(x for part in range(0, len(column), 50) for x in column.slice(part, 50).to_pylist()):

@@ -45,11 +45,12 @@ class PieceCache:
     """Encoded pieces: a fixed table of frequent ones before a bounded cache of the rest.
 
     ``encode_many`` maps a list of pieces to a list of values.  The cache has two generations of
-    at most ``limit`` entries together; pieces of more than ``long`` characters are never kept.
+    at most ``limit`` entries together; pieces of more than ``long`` characters are never kept.  Texts
+    are looked up in groups of about ``group`` characters.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list], frequent: dict | None = None, limit: int = 700_000, long: int = 48):
-        self.encode_many, self.frequent, self.half, self.long = encode_many, frequent or {}, limit // 2, long
+    def __init__(self, encode_many: Callable[[list[str]], list], frequent: dict | None = None, limit: int = 700_000, long: int = 48, group: int = 1_000_000):
+        self.encode_many, self.frequent, self.half, self.long, self.group = encode_many, frequent or {}, limit // 2, long, group
         self.young: dict = dict(self.frequent)
         self.old: dict = {}
 
@@ -60,7 +61,7 @@ class PieceCache:
         for text in texts:
             group.append(cut(text))
             size += len(text)
-            if size > 1_000_000:
+            if size > self.group:
                 yield from self._look_up(group)
                 group, size = [], 0
         yield from self._look_up(group)
