@@ -92,7 +92,7 @@ def json_encoder(path: str, pattern: str) -> JsonEncoder:
 def json_id_cache(path: str, pattern: str) -> PieceCache:
     """A cache of pieces as packed 32-bit ids, to be joined into arrays."""
     encoder = json_encoder(path, pattern)
-    return PieceCache(lambda pieces: [array("I", encoder.ids(p)).tobytes() for p in pieces])
+    return PieceCache(lambda pieces: [array("I", encoder.ids(p)).tobytes() for p in pieces], limit=900_000)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
