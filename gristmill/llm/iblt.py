@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import materialize
 
 #: Cells in each of the three parts: of the fingerprint, then of a group's sketches.
-WIDTH, RETRIES = 16, (16, 128)
+WIDTH, RETRIES = 16, (8, 32)
 #: Digests of both texts in a group, on average; rounds of peeling.
-GROUP, ROUNDS = 16, 12
+GROUP, ROUNDS = 8, 12
 #: Where paragraphs end.
 ENDS = r"\n+|(?<=[.!?])\s+"
 #: Rows in one range of ids, and the quantiles that ranges are laid between.
@@ -76,6 +76,22 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda p, q: F.struct((p["n"] - q["n"]).alias("n"), p["x"].bitwiseXOR(q["x"]).alias("x")))
 
 
+def difference(a: Column, b: Column, width: int) -> Column:
+    """``subtract(sketch(a), sketch(b))``, built in one go."""
+
+    def with_sign(items: Column, n: int) -> Column:
+        return F.transform(items, lambda d: F.struct(F.lit(n).alias("n"), d.alias("x")))
+
+    signed = F.concat(with_sign(a, 1), with_sign(b, -1))
+
+    def cell(items: Column, i: Column) -> Column:
+        part, at = _at(i, width)
+        own = F.filter(items, lambda d: _place(d["x"], part, width) == at)
+        return F.aggregate(own, F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("x")), lambda acc, d: F.struct((acc["n"] + d["n"]).alias("n"), acc["x"].bitwiseXOR(d["x"]).alias("x")))
+
+    return let(signed, lambda items: F.transform(F.sequence(F.lit(0), F.lit(3 * width - 1)), lambda i: cell(items, i)))
+
+
 def peel(cells: Column, width: int) -> Column:
     """Digests recovered from a difference: an array of (count, xor), or null on failure.
 
@@ -124,22 +140,28 @@ def differing(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Colum
     Fingerprints first, then groups with sketches of growing width; digests of a group that no
     width resolves (two sharing all cells) are compared as they are.
     """
-    groups = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), (F.size(a) + F.size(b)) / F.lit(float(GROUP)))))).cast("int")
+    # Groups by digest bits that no width uses for places, in two steps, so that a long text's
+    # digests are filtered twice the square root of its groups, not once for each group.
+    bits = F.greatest(F.lit(0), F.ceil(F.log2((F.size(a) + F.size(b) + 1) / F.lit(float(GROUP))))).cast("int")
+    outer, inner = F.call_function("shiftleft", F.lit(1), F.shiftright(bits, 1)), F.call_function("shiftleft", F.lit(1), bits - F.shiftright(bits, 1))
 
-    def one(g: Column, mask: Column) -> Column:
-        def members(x: Column) -> Column:
-            return F.filter(x, lambda d: F.shiftright(F.xxhash64(d), 7).bitwiseAND(mask) == g)
+    def members(items: Column, shift: int, count: Column, g: Column) -> Column:
+        return F.filter(items, lambda d: F.shiftright(d, shift).bitwiseAND(count.cast("long") - 1) == g)
 
-        def compared(p: Column, q: Column) -> Column:
-            tries = [_counts(peel(subtract(sketch(p, w), sketch(q, w)), w)) for w in RETRIES]
-            return F.coalesce(*tries, F.struct(F.size(F.array_except(p, q)).alias("a"), F.size(F.array_except(q, p)).alias("b")))
+    def compared(p: Column, q: Column) -> Column:
+        tries = [_counts(peel(difference(p, q, w), w)) for w in RETRIES]
+        return F.coalesce(*tries, F.struct(F.size(F.array_except(p, q)).alias("a"), F.size(F.array_except(q, p)).alias("b")))
 
-        return let(members(a), lambda p: let(members(b), lambda q: compared(p, q)))
+    def over(count: Column, acc: Column, p: Column, q: Column, shift: int, use: Callable[[Column, Column, Column], Column]) -> Column:
+        step = lambda acc, g: let(members(p, shift, count, g), lambda x: let(members(q, shift, count, g), lambda y: use(acc, x, y)))
+        return F.aggregate(F.sequence(F.lit(0), count - 1), acc, step)
 
-    def add(acc: Column, g: Column) -> Column:
-        return let(one(g, groups.cast("long") - 1), lambda m: F.struct((acc["a"] + m["a"]).alias("a"), (acc["b"] + m["b"]).alias("b")))
+    def add(acc: Column, p: Column, q: Column) -> Column:
+        some = let(compared(p, q), lambda m: F.struct((acc["a"] + m["a"]).alias("a"), (acc["b"] + m["b"]).alias("b")))
+        return F.when((F.size(p) == 0) & (F.size(q) == 0), acc).otherwise(some)
 
-    total = F.aggregate(F.sequence(F.lit(0), groups - 1), F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")), add)
+    zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))
+    total = let(F.struct(outer.alias("o"), inner.alias("i")), lambda n: over(n["o"], zero, a, b, 7, lambda acc, p, q: over(n["i"], acc, p, q, 23, add)))
     return F.coalesce(_counts(peel(subtract(sketch_a, sketch_b), WIDTH)), total)
 
 
