@@ -2,7 +2,8 @@
 
 Markup is stripped into one line per block.  Lines of menus, adverts, forms and the like count as
 empty, so the lengths of text summed over a sliding window of lines surge where the article
-begins and dive to nothing where it ends; the text between is kept whole.
+begins and dive to nothing where it ends; the text between is kept whole.  Where a page marks its
+articles, the marks take the place of the surge and the dive.
 """
 
 from __future__ import annotations
@@ -163,11 +164,14 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
 def main_text(page: str | None) -> str:
     """The article of a page, its blocks joined by line feeds; "" if there is none.
 
-    Where the page marks articles, lines elsewhere count as empty.
+    Where the page marks articles, every line inside them that isn't of their surroundings is kept,
+    and none elsewhere.
     """
     found = lines(page or "")
-    marked = any(text and inside and not around for text, inside, around in found)
-    lengths = [len(text) if not around and (inside or not marked) else 0 for text, inside, around in found]
+    marked = [text for text, inside, around in found if text and inside and not around]
+    if marked:
+        return "\n".join(marked)
+    lengths = [0 if around else len(text) for text, _, around in found]
     sums = [0, *accumulate(lengths)]
     windows = [sums[min(len(lengths), i + WINDOW)] - sums[i] for i in range(len(lengths))]
     surge = min(SURGE, max(windows, default=0))

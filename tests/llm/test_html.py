@@ -31,6 +31,12 @@ def test_without_article_marks():
     assert main_text(page(blocks, rnd, marked=False)) == "\n".join(blocks)
 
 
+def test_surroundings_inside_an_article_do_not_split_it():
+    long = "plain " * 30
+    assert main_text(f"<article><h1>Title</h1><div class=ad>Buy</div><p>{long}</p><aside>Side</aside><p>Short end.</p></article>") == f"Title\n{long.strip()}\nShort end."
+    assert main_text(f"<article><h1>Title</h1><nav>Menu</nav><p>{long}</p><form>Name</form><p>One.</p><footer>Us</footer><p>Two.</p></article><p>{long}</p>") == f"Title\n{long.strip()}\nOne.\nTwo."
+
+
 def test_white_space_references_and_odd_markup():
     assert main_text("<p>a\n  b&nbsp;&amp;&lt;c&gt; 1 < 2<br>d <i>e</i>f</p>") == "a b &<c> 1 < 2 d ef"
     assert main_text("<p>open <a href='") == "open"
