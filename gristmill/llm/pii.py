@@ -25,7 +25,22 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])")
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_IBAN_RUN = re.compile(r"(?:[ ]?[A-Z0-9]){15,34}")
+_ALNUM = re.compile(r"[A-Za-z0-9]")
+#: Whole runs of groups, for countries without a known length.
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])")
+#: Characters of an account number by country.
+IBAN_LENGTH = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+        26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -78,6 +93,31 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", bound)
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    # Of a run of groups, which may go on into other words, the account number is what has the
+    # length of its country.
+    at = 0
+    while (head := _IBAN_START.search(text, at)) is not None:
+        start = at = head.start()
+        at += 1
+        run, length = _IBAN_RUN.match(text, start), IBAN_LENGTH.get(head[0][:2])
+        if run and length and (end := _group_end(text, start, run.end(), length)) and mod97(text[start:end].replace(" ", "")):
+            yield start, end
+            at = end
+        elif (whole := _IBAN.match(text, start)) and 15 <= len(c := whole[0].replace(" ", "")) <= 34 and mod97(c):
+            yield start, whole.end()
+            at = whole.end()
+
+
+def _group_end(text: str, start: int, stop: int, length: int) -> int:
+    """Where ``length`` characters other than spaces from ``start`` end, if a group ends there; else 0."""
+    end = start
+    while length and end < stop:
+        length -= text[end] != " "
+        end += 1
+    return 0 if length or _ALNUM.match(text, end) else end
+
+
 def _small(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) < 4 and int(part or "0") <= 255
@@ -97,7 +137,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def find_spans(text: str) -> list[Span]:
     """All spans of ``text`` by kind as in ``KINDS``, then start."""
     found = base_spans(text)
-    found += [("iban", *m.span()) for m in _IBAN.finditer(text) if 15 <= len(c := m[0].replace(" ", "")) <= 34 and mod97(c)]
+    found += [("iban", *span) for span in _ibans(text)]
     found += [("ssn", *m.span()) for m in _SSN.finditer(text)]
     out = []
     for kind, start, end in found:

@@ -36,6 +36,22 @@ def test_validators_and_context():
     assert pii.mask("mail a@b.cc now", pii.find_spans("mail a@b.cc now")) == "mail [EMAIL] now"
 
 
+def test_ibans_of_any_grouping_and_before_other_words():
+    def ibans(text):
+        return [text[s.start : s.end] for s in pii.find_spans(text) if s.kind == "iban"]
+
+    for iban in ("CH93 0076 2011 6238 5295 7", "HR12 1001 0051 8630 0016 0", "LV80 BANK 0000 4351 9500 1", "LI21 0881 0000 2324 013A A", "NO93 8601 1117 947", "BE68 5390 0754 7034", "DE89370400440532013000", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"):
+        for before, after in (("", ""), ("to ", "."), ("AB12 ", " EUR 500"), ("IBAN ", " BIC ABNANL2A"), ("DE89 ", " 7"), ("", " or " + iban)):
+            text = before + iban + after
+            assert ibans(text) == [iban] * text.count(iban), text
+        assert ibans(iban.replace(" ", "")) == [iban.replace(" ", "")]
+        assert not ibans(iban[:4] + iban[4:].translate(str.maketrans("01", "10"))) and not ibans(iban + "0")
+    text = "Pay NL91 ABNA 0417 1643 00 BIC ABNANL2A"
+    assert pii.mask(text, pii.find_spans(text)) == "Pay [IBAN] BIC ABNANL2A"
+    # Of a country without a known length, the whole run counts.
+    assert ibans("to XX57 WEST 1234 5698 7654 32.") == ["XX57 WEST 1234 5698 7654 32"]
+
+
 def test_nulls_empty_and_repeated_rows(spark):
     long = "word " * 50_000 + "x@y.zz"
     docs = spark.createDataFrame([(1, None, "a"), (None, "", "b"), (2, long, "c"), (2, long, "c")], DOCS)
