@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import hashlib
 import json
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -43,15 +44,28 @@ def decision_problems(passed: DataFrame, accepted: DataFrame, rejected: DataFram
 def fuzzy_dedup(questions: DataFrame, category: str, order: str, text: str, threshold: float = 0.9) -> DataFrame:
     """Per category, in order, questions unlike every one kept so far (sequence-matcher ratio).
 
-    Order-dependent by definition; a category holds drafted questions, hundreds at most.
+    Order-dependent by definition; a category holds drafted questions, hundreds at most.  A ratio
+    can't exceed what the lengths, then the counts of characters allow, so most pairs need no
+    matching.
     """
 
+    def ratio(matches: int, length: int) -> float:
+        return 2.0 * matches / length if length else 1.0
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[int] = []
         pdf = pdf.sort_values(order).reset_index(drop=True)
         clean = [" ".join((t or "").lower().split()) for t in pdf[text]]
-        for i, t in enumerate(clean):
-            if all(difflib.SequenceMatcher(None, t, clean[j]).ratio() < threshold for j in kept):
+        counts = [Counter(t) for t in clean]
+
+        def alike(i: int, j: int) -> bool:
+            length = len(clean[i]) + len(clean[j])
+            if ratio(min(len(clean[i]), len(clean[j])), length) < threshold or ratio((counts[i] & counts[j]).total(), length) < threshold:
+                return False
+            return difflib.SequenceMatcher(None, clean[i], clean[j]).ratio() >= threshold
+
+        for i in range(len(clean)):
+            if not any(alike(i, j) for j in kept):
                 kept.append(i)
         return pdf.iloc[kept]
 

@@ -279,7 +279,8 @@ def context_sample(s, d):
 
 @query()
 def fuzzy_dedup(s, d):
-    return benchmark.fuzzy_dedup(table(s, d, "benchmark").withColumn("category", F.pmod(F.xxhash64("item_id"), F.lit(16))), "category", "item_id", "text").select("item_id")
+    # The table has no categories, so all its questions are of one.
+    return benchmark.fuzzy_dedup(table(s, d, "benchmark").withColumn("category", F.lit("all")), "category", "item_id", "text").select("item_id")
 
 
 @query()

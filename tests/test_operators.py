@@ -1,5 +1,7 @@
+import difflib
 import json
 import math
+import random
 import re
 
 import numpy as np
@@ -10,6 +12,7 @@ from gristmill.operators import benchmark as B
 from gristmill.operators import corpus as C
 from gristmill.operators import evaluation as E
 from gristmill.operators import retrieval as R
+from gristmill.plans import registry
 from gristmill.sources import readers, sinks
 from gristmill.streaming import ingest
 
@@ -146,6 +149,27 @@ def test_questions_decisions_and_cache(spark):
     assert again == {"p": "p!", "q": "new"}
 
 
+def test_fuzzy_dedup_query_compares_all_questions(spark, tmp_path):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 7))) for _ in range(60)]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(3, 60)))) for i in range(60)]
+    for i in range(60, 120):  # copies with other words, order of letters or cases; some too far off
+        text = list(rnd.choice(items)[1])
+        for _ in range(rnd.randint(0, len(text) // 8)):
+            text[rnd.randrange(len(text))] = rnd.choice("ABxyz ")
+        items.append((i, "".join(text)))
+    items += [(120, None), (121, " "), (122, "")]
+    kept = []
+    for i, text in items:
+        clean = " ".join((text or "").lower().split())
+        if all(difflib.SequenceMatcher(None, clean, c).ratio() < 0.9 for _, c in kept):
+            kept.append((i, clean))
+    assert 70 < len(kept) < 110
+    rnd.shuffle(items)
+    spark.createDataFrame(items, "item_id long, text string").repartition(3).write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r.item_id for r in registry.QUERIES["fuzzy_dedup"](spark, str(tmp_path)).collect()) == [i for i, _ in kept]
+
+
 def test_grounded_answers(spark):
     questions = spark.createDataFrame([("q1", "Fit?")], "question_id string, question string")
     contexts = spark.createDataFrame([("q1", "[5] has_photo: no\nruns small")], "query_id string, context_text string")
