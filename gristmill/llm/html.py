@@ -29,9 +29,17 @@ _BLOCKS = frozenset(
 _RAW = frozenset("script style noscript template textarea iframe svg math object select button title noembed noframes xmp".split())
 _ASIDE = frozenset("nav aside footer form menu dialog head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Parts of class names, ids and roles of what surrounds an article.
-_AROUND = frozenset(
-    "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus footer gdpr header masthead menu menubar modal nav navbar navigation navigation newsletter notice notices overlay pagination popup promo promoted promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
+#: Words of class names, ids and roles of what surrounds an article: of what is never one itself,
+#: of heads, which an article can have too, and the others.
+_FOREIGN = frozenset("ad ads adv advert advertisement adverts comment comments commentlist consent cookie cookies disqus gdpr promo promoted promotion related replies reply respond sponsor sponsored".split())
+_HEADS = frozenset("header masthead".split())
+_AROUND = _FOREIGN | _HEADS | frozenset(
+    "banner breadcrumb breadcrumbs contentinfo footer menu menubar modal nav navbar navigation newsletter notice notices overlay pagination popup share sharing sidebar signup social subscribe subscription toolbar widget".split()
+)
+#: Words that may stand beside them in a name; any other word ("has", "open") makes it another name.
+_OWN = frozenset("article entry page post story".split())
+_BESIDE = _OWN | frozenset(
+    "area articles bar block body bottom box button buttons container content count form google group heading icon icons inner item items label left link links list main next posts prev previous primary right secondary section site slot sticky stories text thread title top unit wrap wrapper".split()
 )
 _TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
 _NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -59,29 +67,42 @@ def _tag_end(page: str, start: int) -> int:
     return end
 
 
-def _is_around(attributes: str) -> bool:
+def _is_around(attributes: str, in_article: bool) -> int:
+    """Whether a name is that of surroundings: 0 no, 1 yes, 2 yes and never an article's."""
+    found = 0
     for m in _NAMES.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").split():
-            words = [w.lower() for w in _WORDS.findall(name)]
-            if any(w in _AROUND for w in words):
-                return True
-    return False
+            words = {w.lower() for w in _WORDS.findall(name)}
+            around = words & _AROUND
+            if not around or any(w not in _AROUND and w not in _BESIDE and len(w) > 1 for w in words):
+                continue
+            if not around <= _HEADS or not (in_article or words & _OWN):
+                found = max(found, 2 if around & _FOREIGN else 1)
+    return found
 
 
-def lines(page: str) -> list[tuple[str, bool, bool]]:
-    """Blocks of a page in order: (text, in an article, part of its surroundings)."""
+def lines(page: str, keep: frozenset[int] = frozenset()) -> tuple[list[tuple[str, bool, bool]], dict[int, tuple[int, int]]]:
+    """Blocks of a page in order: (text, in an article, part of its surroundings).
+
+    Also the elements that count as surroundings by their names alone, by where they begin: (length
+    of the text in them, kind of name).  Those in ``keep`` don't count.
+    """
     out: list[tuple[str, bool, bool]] = []
     text: list[str] = []
     at, size, article, linked = 0, len(page), 0, 0
     inside_link = False
     skip, depth = "", 0
+    posts = seen = 0  # open <article> elements, length of all text
+    named: dict[int, tuple[int, int]] = {}
+    opened: dict[str, list[tuple[int, int, int]]] = {}
     gone: set[str] = set()  # closing marks known to occur no more
 
     def end_block() -> None:
-        nonlocal linked
+        nonlocal linked, seen
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
+                seen += len(line)
                 out.append((line, article > 0, bool(skip) or (not article and linked > len(line) / 2)))
             text.clear()
         linked = 0
@@ -138,8 +159,21 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
             continue
         end_block()
         inside_link = False
+        around = 0
+        if closing:
+            if opened.get(name):
+                start, before, kind = opened[name].pop()
+                if kind:
+                    named[start] = (seen - before, kind)
+        elif name not in _VOID:
+            # A page's article or main is that whatever its names; an article in another can be a comment.
+            if name not in ("html", "body", "main", *_ASIDE) and (name != "article" or posts or skip):
+                around = _is_around(page[tag.end() : end], article > 0)
+            opened.setdefault(name, []).append((mark, seen, around))
+            if mark in keep:
+                around = 0
         if skip:
-            if name in ("article", "main", "body") and not closing and skip != name and not _is_around(page[tag.end() : end]):
+            if name in ("article", "main", "body") and not closing and skip != name and not around:
                 skip = ""
             elif name == skip:
                 depth += -1 if closing else 1
@@ -148,26 +182,42 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
                     out.extend([("", article > 0, False)] * WINDOW)
                 continue
         if not skip and not closing and name not in _VOID and name not in ("html", "body"):
-            if name in _ASIDE or (name == "header" and not article) or _is_around(page[tag.end() : end]):
+            if name in _ASIDE or (name == "header" and not article) or around:
                 out.extend([("", article > 0, False)] * WINDOW)
                 skip, depth = name, 1
                 continue
         if name in ("article", "main") and not skip:
             out.extend([("", False, False)] * WINDOW)
             article = max(0, article - 1) if closing else article + 1
+            if name == "article":
+                posts = max(0, posts - 1) if closing else posts + 1
         elif name in ("section", "table"):
             out.append(("", article > 0, False))
     end_block()
-    return out
+    for stack in opened.values():
+        named |= {start: (seen - before, kind) for start, before, kind in stack if kind}
+    return out, named
 
 
 def main_text(page: str | None) -> str:
     """The article of a page, its blocks joined by line feeds; "" if there is none.
 
     Where the page marks articles, every line inside them that isn't of their surroundings is kept,
-    and none elsewhere.
+    and none elsewhere.  An element that holds most of the page's text isn't left out for its names;
+    one whose names are never an article's (comments can outweigh the article) only if there is
+    other text.
     """
-    found = lines(page or "")
+    page = page or ""
+    found, named = lines(page)
+    size = sum(len(text) for text, _, _ in found)
+    most = {start: kind for start, (held, kind) in named.items() if 2 * held > size}
+    if keep := frozenset(start for start, kind in most.items() if kind == 1):
+        found, _ = lines(page, keep)
+    text = _article(found)
+    return text if text or len(keep) == len(most) else _article(lines(page, frozenset(most))[0])
+
+
+def _article(found: list[tuple[str, bool, bool]]) -> str:
     marked = [text for text, inside, around in found if text and inside and not around]
     if marked:
         return "\n".join(marked)

@@ -37,6 +37,26 @@ def test_surroundings_inside_an_article_do_not_split_it():
     assert main_text(f"<article><h1>Title</h1><nav>Menu</nav><p>{long}</p><form>Name</form><p>One.</p><footer>Us</footer><p>Two.</p></article><p>{long}</p>") == f"Title\n{long.strip()}\nOne.\nTwo."
 
 
+def test_names_of_surroundings_are_whole_names():
+    long = ("plain " * 30).strip()
+    inner, want = f"<h1>Title</h1><p>{long}</p>", f"Title\n{long}"
+    for page in (
+        f"<article class='post comments-open'>{inner}</article>",
+        f"<article class='widget'>{inner}</article>",
+        f"<main class='has-sidebar'>{inner}</main>",
+        f"<main id=sidebar>{inner}</main>",
+        f"<div class='layout with-sidebar'>{inner}</div>",
+        f"<article><div class='entry-header'><h1>Title</h1></div><p>{long}</p></article>",
+        f"<div class='post-header'><h1>Title</h1></div><p>{long}</p>",
+        f"<div class='sidebar widget'><div class=widget>{inner}</div><div class=widget>Side</div></div>",
+        f"<div id=comments>{inner}</div>",
+        f"<div class=post>{inner}</div><div id=comments class='comments-area'><p>{long * 3}</p></div>",
+        f"<article>{inner}<div class='share-bar'>Share</div><div class=cookieNotice>We</div><article class=comment-body>me too</article></article>",
+        f"<div class='site-header'><p>{long}</p></div><div class='sidebar'><p>{long}</p></div>{inner}<div class='ad-728x90'>{long}</div>",
+    ):
+        assert main_text(page) == want, page
+
+
 def test_white_space_references_and_odd_markup():
     assert main_text("<p>a\n  b&nbsp;&amp;&lt;c&gt; 1 < 2<br>d <i>e</i>f</p>") == "a b &<c> 1 < 2 d ef"
     assert main_text("<p>open <a href='") == "open"
