@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pyarrow as pa
@@ -67,6 +68,13 @@ def test_run_equals_the_stages(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, at.collect()), key=str)
 
 
+def test_the_last_stage_gives_token_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some text"), (2, ""), (None, None)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()}
+    assert len(rows) == 3 and all(len(r.ids) == r.n_tokens for r in rows.values()) and rows[1].ids and not rows[2].ids
+    assert all(hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest() == r.ids_sha256 for r in rows.values())
+
+
 def test_keep_only_filters(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "a b", "y")], "doc_id long, text string, score string")
     model = nbsvm.fit([], __import__("numpy").zeros(0, int))
