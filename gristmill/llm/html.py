@@ -45,19 +45,21 @@ _TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
 _NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _OPEN_QUOTE = re.compile(r"""=\s*(["'])""")
-#: How far a quoted attribute value may run past a ">".
-_VALUE = 65_536
 
 
-def _tag_end(page: str, start: int) -> int:
-    """Where the tag that begins at ``start`` ends; a ">" in a quoted value doesn't end it."""
+def _tag_end(page: str, start: int, gone: set[str]) -> int:
+    """Where the tag that begins at ``start`` ends; a ">" in a quoted value doesn't end it.
+
+    ``gone`` holds the closing marks known to occur no more.
+    """
     end = page.find(">", start)
     if end < 0 or "=" not in page[start:end]:
         return end
     at = start
     while (quote := _OPEN_QUOTE.search(page, at, end)) is not None:
-        close = page.find(quote[1], quote.end(), quote.end() + _VALUE)
+        close = -1 if quote[1] in gone else page.find(quote[1], quote.end())
         if close < 0:
+            gone.add(quote[1])
             return end
         if close > end:
             end = page.find(">", close)
@@ -135,7 +137,7 @@ def lines(page: str, keep: frozenset[int] = frozenset()) -> tuple[list[tuple[str
                 add("<")
                 at = mark + 1
             continue
-        end = _tag_end(page, mark)
+        end = _tag_end(page, mark, gone)
         if end < 0:  # the page is cut inside this tag
             break
         name, closing = tag[1].lower(), page[mark + 1] == "/"

@@ -57,6 +57,12 @@ def test_names_of_surroundings_are_whole_names():
         assert main_text(page) == want, page
 
 
+def test_long_attribute_values():
+    for quote in "'\"":
+        value = "<p>no</p> " * 20_000
+        assert main_text(f"<div data-x={quote}{value}{quote} class=x>yes</div><p title={quote}>open</p>") == "yes\nopen"
+
+
 def test_white_space_references_and_odd_markup():
     assert main_text("<p>a\n  b&nbsp;&amp;&lt;c&gt; 1 < 2<br>d <i>e</i>f</p>") == "a b &<c> 1 < 2 d ef"
     assert main_text("<p>open <a href='") == "open"
