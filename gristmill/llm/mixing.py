@@ -70,7 +70,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, til
     size 0; null sources are a source of their own; a source without words has target 0; repeated
     rows are documents of their own.  Other columns are not read.
     """
-    sized = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("mixed"))
+    return _planned(docs, weights, cap, tilt).orderBy(F.asc_nulls_last("position"), "doc_id")
+
+
+def _planned(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, tilt: float = 0.5, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The plan without its order; ``keys`` are columns that come along and settle ties."""
+    sized = docs.select(*keys, "doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("mixed"))
     # From here on only ids, sources and sizes travel.
     sized = materialize(sized.withColumn("slice", F.substring("mixed", 1, SLICE_DIGITS)), "mix-sizes")
     slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("words"))
@@ -83,9 +88,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, til
     starts = slices.withColumn("offset", F.coalesce(F.sum("words").over(by_slice), F.lit(0)))
     # At most 4,096 rows for each source: small beside the documents, whichever join is chosen.
     starts = starts.join(sources, starts["source"].eqNullSafe(sources["source"])).select(starts["source"], "slice", "offset", "source_size", "target", "tilt")
-    within = Window.partitionBy("source", "slice").orderBy("mixed", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "slice").orderBy("mixed", "doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(starts, placed["source"].eqNullSafe(starts["source"]) & (placed["slice"] == starts["slice"])).select(placed["doc_id"], "size", "source_size", "target", "tilt", (F.col("inside") + F.col("offset")).alias("before"))
+    placed = placed.join(starts, placed["source"].eqNullSafe(starts["source"]) & (placed["slice"] == starts["slice"])).select(*(placed[k] for k in keys), placed["doc_id"], "size", "source_size", "target", "tilt", (F.col("inside") + F.col("offset")).alias("before"))
     words = F.round("target").cast("long")
     passes = F.coalesce(F.floor(F.try_divide(words, F.col("source_size"))), F.lit(0)).cast("long")
     rest = words - passes * F.col("source_size")
@@ -93,16 +98,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, til
     takes = F.filter(F.sequence(F.lit(0), F.lit(cap)), lambda p: p * F.col("size") < F.col("taken"))
     times = F.transform(takes, lambda p: F.least(F.lit(1.0), inverse_demand((F.col("before") + p * F.col("source_size")).cast("double"), F.col("target"), F.col("tilt"))))
     placed = placed.withColumn("taken", taken).withColumn("positions", times).withColumn("position", F.try_element_at("positions", F.lit(1)))
-    return placed.select("doc_id", "size", "source_size", "target", "taken", "position", "positions").orderBy(F.asc_nulls_last("position"), "doc_id")
+    return placed.select(*keys, "doc_id", "size", "source_size", "target", "taken", "position", "positions")
 
 
 def apply_mix(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` as the mix takes them: whole documents, repeated as planned, in training order.
 
-    A last take of under half a document is left out, one of at least half becomes whole.  Rows of
-    equal ``doc_id`` (null too) share one plan, that of the largest.
+    A last take of under half a document is left out, one of at least half becomes whole.  Each row
+    has its own plan, whatever its ``doc_id``.
     """
-    plan = mix(docs, **settings).groupBy("doc_id").agg(F.max_by(F.struct("size", "taken", "positions"), F.struct("size", "taken", "position")).alias("p"))
-    copies = F.coalesce(F.round(F.try_divide(F.col("p.taken"), F.col("p.size"))), F.lit(0)).cast("int")
-    plan = plan.select(F.col("doc_id").alias("plan_id"), F.explode(F.slice("p.positions", F.lit(1), copies)).alias("plan_position"))
-    return docs.join(plan, F.col("doc_id").eqNullSafe(F.col("plan_id"))).orderBy("plan_position", "doc_id").select(*docs.columns)
+    keys = ("mix_content", "mix_row")
+    rows = materialize(docs.withColumn("mix_content", F.xxhash64(*docs.columns)).withColumn("mix_row", F.monotonically_increasing_id()), "mix-rows")
+    plan = _planned(rows, **settings, keys=keys)
+    copies = F.coalesce(F.round(F.try_divide("taken", "size")), F.lit(0)).cast("int")
+    plan = plan.select("mix_row", F.explode(F.slice("positions", F.lit(1), copies)).alias("plan_position"))
+    return rows.join(plan, "mix_row").orderBy("plan_position", "doc_id").select(*docs.columns)

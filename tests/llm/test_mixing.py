@@ -69,3 +69,12 @@ def test_inverse_demand(spark):
 def test_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mixing.mix(spark.createDataFrame([(1, None, None, "")], SCHEMA)).first().taken == 0
+
+
+def test_rows_of_null_and_repeated_ids_have_their_own_plans(spark):
+    rows = [(None if i % 2 else i % 6, f"w{i} " * (1 + i % 7), f"s{i % 3}", "x") for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    plan = mixing.mix(docs).collect()
+    want = sorted((r.doc_id or -1, r.size) for r in plan for _ in range(int(r.taken / r.size + 0.5)))
+    got = mixing.apply_mix(docs).collect()
+    assert sorted((r.doc_id or -1, len(r.text.split())) for r in got) == want and {tuple(r) for r in got} <= set(rows)
