@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,26 +42,37 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
+    """The shared folder for intermediate tables: one of this application in ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, one machine) a local folder is chosen.
+    Where the session leaves that unset, a local folder serves a session on one machine; any other
+    session fails, since its executors don't share folders.  Tables stay until the driver ends or
+    ``clean`` is called, since results are read from them.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not getattr(spark, "_gristmill_scratch", None):
             spark._gristmill_scratch = tempfile.mkdtemp(prefix="gristmill-scratch-")
+            atexit.register(shutil.rmtree, spark._gristmill_scratch, ignore_errors=True)
         root = "file://" + spark._gristmill_scratch
-    return root.rstrip("/")
+    return f"{root.rstrip('/')}/gristmill/{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return a scan of it.
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that weren't written are lost."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+
+
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder (or at ``path``) and return a scan of it.
 
     This cuts lineage in a way that outlives executors: a later stage rereads files instead of
     recomputing, and needs only the columns it uses.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/gristmill/{name}-{uuid.uuid4().hex}"
+    path = path or f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -66,6 +81,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``text`` alone, with null texts as empty ones."""
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def texts(docs: DataFrame, *keep: str) -> DataFrame:
+    """``doc_id`` and ``text`` alone, with null texts as empty ones, after the columns ``keep``."""
+    return docs.select(*keep, "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def slices(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
+    """Parts of a column of texts, each of about ``most`` characters at most or one text: (first row, texts)."""
+    first, group, size = 0, [], 0
+    for i, text in enumerate(x.as_py() for x in column):
+        if group and size + len(text) > most:
+            yield first, group
+            first, group, size = i, [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield first, group

@@ -1,6 +1,6 @@
 """Worker-side encoders over the installed tokenizer libraries.
 
-Each encoder turns pieces of text (see ``segments``) into token ids.  One lives in each Python
+Each encoder turns pre-tokens (see ``segments``) into token ids.  One lives in each Python
 worker and outlasts its tasks, so its caches do too.
 """
 
@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import base64
 import os
-import re
 from array import array
 from functools import lru_cache
 
-from gristmill.llm.segments import PieceCache
+from gristmill.llm.segments import Splitter, WordCache
 
 
 def byte_letters() -> dict[int, str]:
@@ -26,61 +25,28 @@ def byte_letters() -> dict[int, str]:
     return table | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
-#: Below this code point, the general categories of letters and digits are the same in every
-#: Unicode version, so that splitting here and splitting in the library agree.
-#: (U+0250; see ``JsonEncoder.settled``.)
-_STOPS = frozenset(",.")
-
-
 class JsonEncoder:
     """Ids by the ``tokenizers`` library for a byte-level BPE ``.json`` file.
 
-    Pieces in settled Latin letters are split into pre-tokens here and each distinct pre-token is
-    merged once by the library's model; every other piece, and any that could hold a special
-    string, goes through the library's whole pipeline.
+    Texts are split into pre-tokens here and the library's model merges each distinct one; what
+    isn't in settled letters, and any text that holds a special string, goes through the library's
+    whole pipeline.
     """
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
-        self.split = regex.compile(pattern).findall
         self.letters = byte_letters()
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.settled = re.compile(r"[\x00-\u024f]*").fullmatch
-
-    def word(self, word: str) -> tuple[int, ...]:
-        ids = self.words.get(word)
-        if ids is None:
-            letters = word.encode().decode("latin-1").translate(self.letters)
-            ids = tuple([t.id for t in self.merge(letters)])
-            if len(word) <= 32:
-                if len(self.words) >= 150_000:
-                    self.words.clear()
-                self.words[word] = ids
-        return ids
-
-    def ids(self, piece: str) -> tuple[int, ...]:
-        if piece[1:].isalpha() and piece[0] == " " and self.settled(piece):
-            return self.word(piece)
-        if piece[-1:] in _STOPS and piece[1:-1].isalpha() and piece[0] == " " and self.settled(piece):
-            return self.word(piece[:-1]) + self.word(piece[-1])
-        if not self.settled(piece) or self.may_be_special(piece):
-            return tuple(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        out: tuple[int, ...] = ()
-        for word in self.split(piece):
-            out += self.word(word)
-        return out
-
-    def may_be_special(self, piece: str) -> bool:
-        for special in self.special:
-            if special in piece:
-                return True
-        return False
+        self.split = Splitter(pattern, raw=True, special=tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
+
+    def ids(self, word: str | tuple[str]) -> list[int]:
+        """Ids of one of the splitter's pre-tokens or stretches."""
+        if type(word) is tuple:
+            return self.tokenizer.encode(word[0], add_special_tokens=False).ids
+        return [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.letters))]
 
 
 @lru_cache(maxsize=2)
@@ -89,10 +55,11 @@ def json_encoder(path: str, pattern: str) -> JsonEncoder:
 
 
 @lru_cache(maxsize=2)
-def json_id_cache(path: str, pattern: str) -> PieceCache:
-    """A cache of pieces as packed 32-bit ids, to be joined into arrays."""
+def json_id_cache(path: str, pattern: str) -> tuple[Splitter, WordCache, str]:
+    """A splitter, its words' packed ids, to be joined, and their array type: 2 bytes an id where the vocabulary fits, else 4."""
     encoder = json_encoder(path, pattern)
-    return PieceCache(lambda pieces: [array("I", encoder.ids(p)).tobytes() for p in pieces], limit=900_000)
+    code = "H" if max(encoder.tokenizer.get_vocab().values()) < 1 << 16 else "I"
+    return encoder.split, WordCache(lambda word: array(code, encoder.ids(word)).tobytes()), "<u2" if code == "H" else "<u4"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -1,90 +1,124 @@
-"""Cutting texts into pieces which a byte-level BPE tokenizer treats independently.
+"""Cutting texts into the pre-tokens of a byte-level BPE tokenizer, and caches of their values.
 
-Every pre-token begins at or before a space that follows a non-space character, so a text may be
-cut in front of such a space: no pre-token crosses the cut, and look-ahead for white space sees
-the same at a cut as at the end of a text.  Pieces repeat far more often than texts do, which is
-what makes caches of encoded pieces pay.
+Pre-tokens repeat far more often than texts do, which is what makes caches of encoded ones pay.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 
-#: A space after white space: cutting there would split a run of white space.
-_UNSAFE = re.compile(r"\s ")
+#: Below this code point the general categories of letters and digits are the same in every
+#: Unicode version, so that splitting here and splitting in a tokenizer library agree.
+SETTLED = 0x250
+#: Characters that are taken at a time of a very long text.
+CHUNK = 1 << 20
 
+_WHITE = "\\t-\\r \x85\xa0"
+#: In front of a space that follows a non-space.
+_CUT = re.compile(r"(?<=\S)(?= )")
 
-def cut(text: str) -> list:
-    """Keys of the pieces of ``text`` in order.
 
-    A key is the piece without its leading space; the first piece, which has none, is a 1-tuple.
+def _ranges(category: str) -> str:
+    """The settled characters of a general category, as the inside of a character class."""
+    members = [c for c in range(SETTLED) if unicodedata.category(chr(c))[0] == category]
+    starts = [c for c in members if c - 1 not in members]
+    ends = [c for c in members if c + 1 not in members]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends, strict=True))
+
+
+def settled_pattern(pattern: str) -> re.Pattern | None:
+    r"""``pattern`` for settled characters alone, as the faster standard library takes it.
+
+    Handles ``\p{L}``, ``\p{N}`` and ``\s`` in and outside of character classes, ``\S`` outside;
+    None for a pattern that has any other property or class.
     """
-    if not text:
-        return []
-    chunks: list = text.split(" ")
-    if _UNSAFE.search(text):
-        merged = [chunks[0]]
-        for i, chunk in enumerate(chunks[1:], 1):
-            last = merged[-1]
-            if (last[-1:].isspace() if last else i > 1) or (not last and len(merged) > 1):
-                merged[-1] = f"{last} {chunk}"
-            else:
-                merged.append(chunk)
-        chunks = merged
-    chunks[0] = (chunks[0],)
-    return chunks
+    inside, out = False, []
+    for part in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.DOTALL):
+        if part in ("[", "]"):
+            inside = part == "["
+        members = {r"\p{L}": _ranges("L"), r"\p{N}": _ranges("N"), r"\s": _WHITE}.get(part)
+        if members is not None:
+            part = members if inside else f"[{members}]"
+        elif part == r"\S" and not inside:
+            part = f"[^{_WHITE}]"
+        elif re.fullmatch(r"\\[A-Za-z].*", part) and part not in (r"\r", r"\n", r"\t"):
+            return None
+        out.append(part)
+    return re.compile("".join(out))
 
 
-def piece(key) -> str:
-    """The piece of text that ``key`` stands for."""
-    return key[0] if isinstance(key, tuple) else f" {key}"
+def chunks(text: str, most: int = CHUNK) -> Iterator[str]:
+    """Slices of a long text that tokenise independently.
+
+    Every pre-token begins at or before a space that follows a non-space, so no pre-token crosses
+    a cut in front of one, and look-ahead for white space sees the same there as at a text's end.
+    """
+    at = 0
+    while len(text) - at > most and (found := _CUT.search(text, at + most)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:] if at else text
 
 
-class PieceCache:
-    """Encoded pieces: a fixed table of frequent ones before a bounded cache of the rest.
+class Splitter:
+    """The pre-tokens of a text in order.
 
-    ``encode_many`` maps a list of pieces to a list of values.  The cache has two generations of
-    at most ``limit`` entries together; pieces of more than ``long`` characters are never kept.  Texts
-    are looked up in groups of about ``group`` characters.
+    Where other characters than the settled ones stand, the ``regex`` library splits; with
+    ``raw``, stretches that hold such characters come whole, as 1-tuples, for a tokenizer library
+    to split itself, and so do texts that hold one of the strings in ``special``.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list], frequent: dict | None = None, limit: int = 700_000, long: int = 48, group: int = 1_000_000):
-        self.encode_many, self.frequent, self.half, self.long, self.group = encode_many, frequent or {}, limit // 2, long, group
-        self.young: dict = dict(self.frequent)
+    def __init__(self, pattern: str, raw: bool = False, special: tuple[str, ...] = ()):
+        import regex
+
+        self.raw, self.special = raw, special
+        self.slow = regex.compile(pattern).findall
+        fast = settled_pattern(pattern)
+        self.fast = fast.findall if fast else self.slow
+        self.settled = re.compile(f"[\0-\\u{SETTLED - 1:04x}]*").fullmatch if fast or not raw else lambda text: False
+
+    def __call__(self, text: str) -> list:
+        for special in self.special:
+            if special in text:
+                return [(text,)]
+        if self.settled(text):
+            return self.fast(text)
+        if not self.raw:
+            return self.slow(text)
+        out: list = []
+        for piece in _CUT.split(text):
+            if self.settled(piece):
+                out += self.fast(piece)
+            else:
+                out.append((piece,))
+        return out
+
+
+class WordCache(dict):
+    """Pre-tokens to values: a fixed table of frequent ones before a bounded cache of the rest.
+
+    The cache has two generations of ``half`` entries each; pre-tokens of more than ``long``
+    characters are never kept.
+    """
+
+    def __init__(self, encode: Callable, frequent: dict | None = None, half: int = 600_000, long: int = 48):
+        super().__init__(frequent or {})
+        self.encode, self.frequent, self.half, self.long = encode, frequent or {}, half, long
         self.old: dict = {}
 
-    def values(self, texts: Iterable[str]) -> Iterator[list]:
-        """For each text the values of its pieces, in order."""
-        group: list[list] = []
-        size = 0
-        for text in texts:
-            group.append(cut(text))
-            size += len(text)
-            if size > self.group:
-                yield from self._look_up(group)
-                group, size = [], 0
-        yield from self._look_up(group)
-
-    def _look_up(self, group: list[list]) -> Iterator[list]:
-        seen: set = set()
-        for keys in group:
-            seen.update(keys)
-        if len(self.young) + len(seen) > self.half + len(self.frequent):
-            self.young, self.old = dict(self.frequent), self.young
-        young, old = self.young, self.old
-        missing = [k for k in seen if k not in young]
-        if old:
-            young.update((k, old[k]) for k in missing if k in old)
-            missing = [k for k in missing if k not in old]
-        rare = {}
-        if missing:
-            for key, value in zip(missing, self.encode_many([piece(k) for k in missing]), strict=True):
-                (young if len(key if isinstance(key, str) else key[0]) <= self.long else rare)[key] = value
-        if rare:
-            for keys in group:
-                yield [rare[k] if k in rare else young[k] for k in keys]
-        else:
-            get = young.__getitem__
-            for keys in group:
-                yield list(map(get, keys))
+    def __missing__(self, word):
+        value = self.old.get(word)
+        if value is None:
+            value = self.encode(word)
+        self.keep(word, value)
+        return value
+
+    def keep(self, word, value) -> None:
+        if len(word if type(word) is str else word[0]) <= self.long:
+            if len(self) >= self.half + len(self.frequent):
+                self.old = dict(self)
+                self.clear()
+                self.update(self.frequent)
+            self[word] = value

@@ -16,16 +16,15 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import materialize, prepare, texts
+from gristmill.llm.common import materialize, prepare, slices, texts
 from gristmill.llm.encoders import json_id_cache
+from gristmill.llm.segments import chunks
 
 #: Fixed values of the format: ids per word and bits per id, by selector.  Selectors 0 and 1 are
 #: runs of zeros; selector 15 holds one id of up to 60 bits, or an escape.
@@ -34,6 +33,8 @@ WIDTHS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = (1 << 60) - 1
 #: A block ends after so many ids.
 BLOCK_IDS = 65_536
+#: Bytes of input to a shard, as files hold them, and the most shards that quantiles can tell apart.
+SHARD_BYTES, MOST_SHARDS = 256 << 20, 50_000
 
 
 def _needed(ids: np.ndarray) -> np.ndarray:
@@ -114,7 +115,7 @@ def shard_bounds(docs: DataFrame, shards: int) -> list[int]:
     if shards < 2:
         return []
     cuts = [i / shards for i in range(1, shards)]
-    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), cuts, 10 * shards)).first()[0]
+    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), cuts, min(10 * shards, 100_000))).first()[0]
     return sorted(set(found or []))
 
 
@@ -122,28 +123,29 @@ def encode_documents(docs: DataFrame, tokenizer: str, pattern: str, bounds: list
     """``shard, doc_id, n_tokens, ids``: each text's ids and ``end_id``, in 2 or 4 bytes each."""
     prepare(docs.sparkSession)
     docs = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    end = np.array([end_id], "<u4").tobytes()
     cuts = np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = json_id_cache(tokenizer, pattern)
+        split, cache, kind = json_id_cache(tokenizer, pattern)
+        look_up, width, end = cache.__getitem__, np.dtype(kind).itemsize, np.array([end_id], kind).tobytes()
         for batch in batches:
-            for start in range(0, batch.num_rows, 100):
-                keys = batch.column(0).slice(start, 100)
-                part = batch.column(1).slice(start, 100).to_pylist()
-                ids = [np.frombuffer(b"".join([*v, end]), "<u4") for v in islice(cache.values(part), len(part))]
-                packed = [x.astype("<u2") if x.max() < 65_536 else x for x in ids]
-                shard = np.searchsorted(cuts, keys.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right")
+            shards = np.searchsorted(cuts, batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right")
+            for first, group in slices(batch.column(1)):
+                packed = [b"".join([b"".join(map(look_up, split(part))) for part in chunks(text)] + [end]) for text in group]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard, pa.int32()), keys, pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in packed], pa.binary())],
+                    [pa.array(shards[first : first + len(group)], pa.int32()), batch.column(0).slice(first, len(group)), pa.array([len(x) // width for x in packed], pa.int64()), pa.array(packed, pa.binary())],
                     names=["shard", "doc_id", "n_tokens", "ids"],
                 )
 
     return docs.mapInArrow(run, "shard int, doc_id long, n_tokens long, ids binary")
 
 
-def write_shards(encoded: DataFrame, shards: int, name: str = "simple8b") -> DataFrame:
-    """Write the file format in ascending ``doc_id`` order and return the files as a table."""
+def write_shards(encoded: DataFrame, shards: int, path: str | None = None) -> DataFrame:
+    """Write the file format in ascending ``doc_id`` order and return the files as a table.
+
+    ``path`` is a new folder that all machines share; without one the files go to the folder for
+    intermediate tables.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, total = None, 0, 0
@@ -170,7 +172,7 @@ def write_shards(encoded: DataFrame, shards: int, name: str = "simple8b") -> Dat
 
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("words", pa.binary())])
     ordered = encoded.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", F.xxhash64("ids"))
-    return materialize(ordered.mapInArrow(run, "shard int, block int, n_ids long, doc_ids array<bigint>, lengths binary, words binary"), name)
+    return materialize(ordered.mapInArrow(run, "shard int, block int, n_ids long, doc_ids array<bigint>, lengths binary, words binary"), "simple8b", path)
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -204,12 +206,18 @@ def read_shards(shards: DataFrame) -> DataFrame:
     return decoded.join(starts, ["shard", "block"]).select("doc_id", (F.col("block_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_files(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0) -> DataFrame:
-    """Encode all texts, write the files, read them back: one row per document.
+def shard_count(docs: DataFrame) -> int:
+    """Shards for ``docs``: the session's shuffle partitions, more where files are larger than so many shards take."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    by_size = 0 if size >= 1 << 60 else size // SHARD_BYTES  # beyond that, Spark doesn't know
+    return min(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), by_size), MOST_SHARDS)
+
+
+def token_files(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, path: str | None = None) -> DataFrame:
+    """Encode all texts, write the files (to ``path``), read them back: one row per document.
 
     Null and empty texts have the end id alone.  A null ``doc_id`` comes first; documents of equal
     id stand together, in an order fixed by their ids.  Other columns are not read.
     """
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = shard_bounds(docs, shards)
-    return read_shards(write_shards(encode_documents(docs, tokenizer, pattern, bounds, end_id), len(bounds) + 1))
+    bounds = shard_bounds(docs, shard_count(docs))
+    return read_shards(write_shards(encode_documents(docs, tokenizer, pattern, bounds, end_id), len(bounds) + 1, path))

@@ -1,9 +1,9 @@
 """Token counts without a shuffle of pre-tokens.
 
-A compact hash table of frequent pieces and their token counts, built from a bounded sample of
-rows, is broadcast.  Tasks look pieces up there first; a miss goes to a cache in the Python worker
-that outlasts the task, and only a miss in both is encoded.  The table and the caches change the
-speed only: every piece of every text is counted exactly as the library encodes it.
+A compact hash table of frequent pre-tokens and their token counts, built from a bounded sample of
+rows, is broadcast.  Tasks look pre-tokens up there first; a miss goes to a cache in the Python
+worker that outlasts the task, and only a miss in both is encoded.  The table and the caches change
+the speed only: every pre-token of every text is counted exactly as the library encodes it.
 """
 
 from __future__ import annotations
@@ -11,42 +11,50 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import prepare, texts
+from gristmill.llm.common import prepare, slices, texts
 from gristmill.llm.encoders import json_encoder
-from gristmill.llm.segments import PieceCache, cut
+from gristmill.llm.segments import WordCache, chunks
 
-#: Rows sampled for the table of frequent pieces, and the most entries it can have.
+#: Rows sampled (about) for the table of frequent pre-tokens, and the most entries it can have, each
+#: of 24 characters at most.
 SAMPLE_ROWS, TABLE_ENTRIES = 2_000, 32_768
 
 
-def frequent_pieces(docs: DataFrame, rows: int = SAMPLE_ROWS, entries: int = TABLE_ENTRIES) -> list:
-    """Keys of the most frequent pieces of some rows; at most ``entries`` of 24 characters each."""
+def frequent_words(docs: DataFrame, tokenizer: str, pattern: str, rows: int = SAMPLE_ROWS, entries: int = TABLE_ENTRIES) -> list[str]:
+    """The most frequent pre-tokens of about ``rows`` rows, chosen by a hash of their ids.
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Tasks count before anything moves.  Rows of a null or equal id are chosen alike.
+    """
+    total = docs.count()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
 
-        counts: Counter = Counter()
+        split, counts = json_encoder(tokenizer, pattern).split, Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(k for k in cut(text) if isinstance(k, str) and len(k) <= 24)
+            for _, group in slices(batch.column(0)):
+                for text in group:
+                    for part in chunks(text):
+                        counts.update(w for w in split(part) if type(w) is str and len(w) <= 24)
+            if len(counts) > 4 * entries:
+                counts = Counter(dict(counts.most_common(2 * entries)))
         top = [(k, n) for k, n in counts.most_common(2 * entries) if n > 1]
-        yield pa.RecordBatch.from_pydict({"piece": [k for k, _ in top], "n": pa.array([n for _, n in top], pa.int64())}, pa.schema([("piece", pa.string()), ("n", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"word": [k for k, _ in top], "n": pa.array([n for _, n in top], pa.int64())}, pa.schema([("word", pa.string()), ("n", pa.int64())]))
 
-    sample = docs.limit(rows).select("text").mapInArrow(pieces, "piece string, n long")
-    top = sample.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(entries)
-    return [r.piece for r in top.collect()]
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(total, 1))) < rows).select("text").mapInArrow(count, "word string, n long")
+    top = sample.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(entries)
+    return [r.word for r in top.collect()]
 
 
 @lru_cache(maxsize=1)
-def _worker_cache(path: str, pattern: str, stamp: str) -> PieceCache:
+def _worker_cache(path: str, pattern: str, stamp: str) -> WordCache:
     encoder = json_encoder(path, pattern)
-    return PieceCache(lambda pieces: [len(encoder.ids(p)) for p in pieces])
+    return WordCache(lambda word: len(encoder.ids(word)))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, pattern: str, limit: int = 512) -> DataFrame:
@@ -60,20 +68,19 @@ def count_tokens(docs: DataFrame, tokenizer: str, pattern: str, limit: int = 512
     docs = texts(docs)
     encoder = json_encoder(tokenizer, pattern)
     stamp = uuid.uuid4().hex
-    table = docs.sparkSession.sparkContext.broadcast({k: len(encoder.ids(f" {k}")) for k in frequent_pieces(docs)})
+    table = docs.sparkSession.sparkContext.broadcast({w: len(encoder.ids(w)) for w in frequent_words(docs, tokenizer, pattern)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _worker_cache(tokenizer, pattern, stamp)
+        cache, split = _worker_cache(tokenizer, pattern, stamp), json_encoder(tokenizer, pattern).split
         if not cache.frequent:
             cache.frequent = table.value
-            cache.young.update(table.value)
+            cache.update(table.value)
+        look_up = cache.__getitem__
         for batch in batches:
-            column = batch.column(1)
-            for start in range(0, max(len(column), 1), 100):
-                part = column.slice(start, 100).to_pylist()
-                n = [sum(v) for v in islice(cache.values(part), len(part))]
+            for first, group in slices(batch.column(1)):
+                n = [sum(sum(map(look_up, split(part))) for part in chunks(text)) for text in group]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, 100), pa.array([len(t.encode()) for t in part], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
+                    [batch.column(0).slice(first, len(group)), pa.array([len(t.encode()) for t in group], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                     names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
 

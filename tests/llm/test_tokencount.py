@@ -1,21 +1,53 @@
 import random
 
 import public_tokenizers
+import pytest
 import regex
 from tokenizers import Tokenizer
 
 from gristmill.llm import tokencount
-from gristmill.llm.segments import cut, piece
+from gristmill.llm.segments import Splitter, WordCache, chunks
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
-def test_pieces_tokenise_independently():
-    split, rnd = regex.compile(PATTERN).findall, random.Random(5)
+ALPHABET = "ab1 \n\t!'s\x1c  é　²½\x85\xa0Ǆ_中\u0301ßLl"
+
+
+def test_pre_tokens_equal_the_pattern():
+    slow, own, rnd = regex.compile(PATTERN).findall, Splitter(PATTERN), random.Random(5)
     for _ in range(20_000):
-        text = "".join(rnd.choice("ab1 \n\t!'s\x1c  é　") for _ in range(rnd.randint(0, 14)))
-        assert "".join(map(piece, cut(text))) == text
-        assert [w for k in cut(text) for w in split(piece(k))] == split(text)
+        text = "".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, 14)))
+        assert own(text) == slow(text)
+        assert [w for part in chunks(text, 1) for w in own(part)] == slow(text)
+    every = "".join(map(chr, range(0x250)))
+    assert own(every) == slow(every) and own(" ".join(every)) == slow(" ".join(every))
+
+
+def test_raw_stretches_cover_the_text():
+    own, rnd = Splitter(PATTERN, raw=True, special=("<|endoftext|>",)), random.Random(6)
+    for _ in range(5_000):
+        text = "".join(rnd.choice([*ALPHABET, "<|endoftext|>"]) for _ in range(rnd.randint(0, 14)))
+        assert "".join(w if isinstance(w, str) else w[0] for w in own(text)) == text
+        assert not any("<|" in w for w in own(text) if isinstance(w, str))
+
+
+def test_cache_forgets_but_never_errs():
+    cache = WordCache(len, {"the": 3}, half=5, long=6)
+    words = [w for i in range(200) for w in ("the", "x" * (i % 9 + 1), f"w{i % 13}")]
+    assert list(map(cache.__getitem__, words)) == list(map(len, words))
+    assert len(cache) <= 6 and "x" * 9 not in cache
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster():
+    from types import SimpleNamespace
+
+    from gristmill.llm import common
+
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master=master))
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.scratch_root(session)
 
 
 def test_counts_equal_the_library(spark):
