@@ -155,6 +155,24 @@ def drafted_questions(c: Column | str) -> Column:
     return F.filter(rows, lambda r: strip(text_of(r["question"])) != "")
 
 
+def required_questions(c: Column | str, label: Column | str) -> Column:
+    """Questions and rationales of a reply that must hold a JSON array, fenced or not, of objects
+    with ``question``; any other reply fails and is shown."""
+    reply = text_of(c)
+    body = F.regexp_extract(reply, r"(?s)\[.*\]", 0)
+    rows = F.from_json(F.nullif(body, F.lit("")), "array<struct<question: string, rationale: string>>")
+    name = F.col(label).cast("string") if isinstance(label, str) else label
+    bad = F.raise_error(F.concat(F.lit("no array of questions for "), name, F.lit(": "), reply))
+    fine = rows.isNotNull() & F.forall(rows, lambda r: r.isNotNull() & r["question"].isNotNull())
+    cleaned = F.transform(rows, lambda r: F.struct(strip(r["question"]).alias("question"), strip(text_of(r["rationale"])).alias("rationale")))
+    return F.when(F.coalesce(fine, F.lit(False)), cleaned).otherwise(bad)
+
+
+def plain_number(c: Column | str) -> Column:
+    """A number without trailing zeros: ``4`` and ``4.5``."""
+    return F.regexp_replace((F.col(c) if isinstance(c, str) else c).cast("double").cast("string"), r"\.0$", "")
+
+
 def completion_parts(c: Column | str, sentence: str) -> Column:
     """Answer, citations, cited photos and abstention of a completion."""
     return F.struct(strip(text_of(c)).alias("answer_text"), citations(text_of(c)).alias("cited_doc_ids"), photo_citations(text_of(c)).alias("cited_photo_ids"), abstained(text_of(c), sentence).alias("abstained"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as X
-from gristmill.operators.corpus import map_batches, seeded_order
+from gristmill.operators.corpus import map_batches, seeded_order, with_place
 
 
 def quality_reason(question: Column | str, min_words: int, max_words: int, need_mark: bool) -> Column:
@@ -28,10 +28,14 @@ def quality_split(drafts: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
     return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL")
 
 
-def negative_ids(negatives: DataFrame, category: str, order: str) -> DataFrame:
-    """``<category>_neg_<000>`` in the order of each category."""
-    place = F.row_number().over(Window.partitionBy(category).orderBy(order)) - 1
-    return negatives.withColumn("id", F.concat(F.col(category).cast("string"), F.lit("_neg_"), F.lpad(place.cast("string"), 3, "0")))
+def negative_ids(negatives: DataFrame, category: str, order: str, slices: int = 64) -> DataFrame:
+    """``<category>_neg_<000>`` in the order of each category.
+
+    Places are counted in slices of a category, between quantiles of ``order``, so no task sorts a
+    whole one.
+    """
+    placed = with_place(negatives, [category], order, "_place", slices)
+    return placed.withColumn("id", F.concat(F.col(category).cast("string"), F.lit("_neg_"), F.lpad((F.col("_place") - 1).cast("string"), 3, "0"))).drop("_place")
 
 
 def decision_problems(passed: DataFrame, accepted: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -133,6 +137,69 @@ def label_problems(pool: DataFrame, labels: DataFrame, negatives: DataFrame) ->
     return unlabeled.unionByName(soft)
 
 
+def label_stats(pool: DataFrame, labels: DataFrame, questions: DataFrame) -> DataFrame:
+    """One row: labels and positives per question, the share of questions with any, and those that
+    should have some and don't or shouldn't and do.
+
+    Every label of a pooled question counts, even if its document isn't pooled.  ``questions`` has
+    ``question_id, is_negative``.  Listed ids are those of a benchmark's questions.
+    """
+    asked = pool.select("question_id").distinct().join(questions, "question_id")
+    rows = asked.join(labels.groupBy("question_id").agg(F.sum("relevant").alias("n")), "question_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ids = lambda wanted: F.array_sort(F.collect_list(F.when(wanted, F.col("question_id").cast("string"))))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_questions"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_positive"),
+        F.coalesce(F.bround(F.try_divide(F.count_if(F.col("n") > 0) * 100.0, F.count(F.lit(1))), 2), F.lit(0.0)).alias("pct_with_positive"),
+        ids(~F.col("is_negative") & (F.col("n") == 0)).alias("zero_positive"),
+        ids(F.col("is_negative") & (F.col("n") > 0)).alias("unexpected_positive"),
+    )
+
+
+def datasheet_stats(entries: DataFrame) -> DataFrame:
+    """One row of what a datasheet reports about ``sources.readers.RECORDS["entries"]``; zeros over nothing."""
+    relevant, cited = F.size("relevant_ids"), F.when(~F.col("is_abstention"), F.size("cited_doc_ids"))
+    shown, wanted = F.count("best_photo_id"), F.count_if("image_target")
+    mean = lambda c: F.coalesce(F.bround(F.avg(c), 2), F.lit(0.0))
+    return entries.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if("is_negative").alias("n_negative"),
+        F.count_if("is_abstention").alias("n_abstention"),
+        wanted.alias("n_image_target"),
+        shown.alias("n_with_photo"),
+        F.coalesce(F.bround(F.try_divide(shown * 100.0, wanted), 2), F.lit(0.0)).alias("image_coverage_pct"),
+        F.coalesce(F.min(relevant), F.lit(0)).alias("min_relevant"),
+        F.coalesce(F.max(relevant), F.lit(0)).alias("max_relevant"),
+        mean(relevant).alias("mean_relevant"),
+        mean(cited).alias("mean_citations"),
+    )
+
+
+def image_targets(questions: DataFrame, coverage: DataFrame, least: float) -> DataFrame:
+    """``image_target`` of each question: not negative, and of a category (``category, pct``) with enough photos."""
+    joined = questions.join(coverage.select("category", F.col("pct").alias("_pct")), "category", "left")
+    return joined.withColumn("image_target", ~F.col("is_negative") & (F.coalesce("_pct", F.lit(0.0)) >= least)).drop("_pct")
+
+
+def image_candidates(relevant: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``question_id, doc_ids``: a question's relevant documents with photos, in numeric order of their ids."""
+    rows = relevant.join(corpus.where("has_image").select("doc_id"), "doc_id")
+    order = F.struct(F.col("doc_id").cast("string").try_cast("long").alias("n"), F.col("doc_id").cast("string").alias("d"))
+    return rows.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_set(order)), lambda x: x["d"]).alias("doc_ids"))
+
+
+def snippets(ids: DataFrame, corpus: DataFrame, max_chars: int) -> DataFrame:
+    """``doc_id, text, rating, has_image, image_url`` of the documents in ``ids``; the first photo, or null."""
+    found = corpus.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    return found.select("doc_id", F.substring(X.text_of("text"), 1, max_chars).alias("text"), "rating", F.coalesce("has_image", F.lit(False)).alias("has_image"), F.try_element_at("image_urls", F.lit(1)).alias("image_url"))
+
+
+def order_problems(expected: DataFrame, given: DataFrame) -> DataFrame:
+    """``place, expected_id, given_id`` where a run's questions (``place, question_id``) aren't those asked, in their order."""
+    both = expected.select("place", F.col("question_id").alias("expected_id")).join(given.select("place", F.col("question_id").alias("given_id")), "place", "full")
+    return both.where(~F.col("expected_id").eqNullSafe(F.col("given_id")))
+
+
 def completeness_problems(expected: DataFrame, answers: DataFrame) -> DataFrame:
     """``question_id, problem`` of a run: missing, unexpected or blank answers."""
     joined = expected.withColumn("e", F.lit(True)).join(answers, "question_id", "full")
@@ -147,6 +214,9 @@ def leaks(texts: DataFrame, protected: DataFrame, text: str = "text") -> DataFra
 
 
 def context_sample(rows: DataFrame, text: str, terms: Sequence[str], n: int, seed: int, max_chars: int, id_col: str) -> DataFrame:
+    """Snippets of ``n`` rows that mention any of the terms, in a seeded order; none at all is an error."""
+    if not rows.where(X.matches_any(text, terms)).limit(1).count():
+        raise ValueError(f"no row mentions any of {list(terms)}")
     return rows.where(X.matches_any(text, terms)).orderBy(seeded_order(id_col, seed)).limit(n).select(id_col, X.truncated(X.text_of(text), max_chars).alias("snippet"))
 
 
@@ -155,19 +225,35 @@ def cache_key(payload: dict) -> str:
     return hashlib.sha256(json.dumps(payload, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
+def keyed_prompts(prompts: DataFrame, settings: dict) -> DataFrame:
+    """``key, prompt``: the distinct prompts and the hashes of their requests."""
+    return map_batches(prompts.select("prompt").distinct(), "prompt", "key", lambda ps: [cache_key(settings | {"prompt": p}) for p in ps]).select("key", "prompt")
+
+
+def answered(keyed: DataFrame, call: Callable[[str], str]) -> DataFrame:
+    """``key, prompt, response``, each prompt asked once."""
+    return map_batches(keyed.select("key", "prompt"), "prompt", "response", lambda ps: [call(p) for p in ps])
+
+
 def complete(prompts: DataFrame, responses: DataFrame | None, call: Callable[[str], str], settings: dict) -> DataFrame:
-    """``key, prompt, response``: answers from earlier responses, calls for the misses alone."""
-    keyed = map_batches(prompts.select("prompt").distinct(), "prompt", "key", lambda ps: [cache_key(settings | {"prompt": p}) for p in ps])
-    asked = keyed if responses is None else keyed.join(responses.select("key"), "key", "left_anti")
-    fresh = map_batches(asked.select("key", "prompt"), "prompt", "response", lambda ps: [call(p) for p in ps])
-    known = None if responses is None else keyed.join(responses.select("key", "response"), "key").select("key", "prompt", "response")
-    return fresh if known is None else known.unionByName(fresh)
+    """``key, prompt, response``: answers from earlier responses, calls for the misses alone.
 
+    Nothing is stored; ``answers.ResponseCache`` does that.
+    """
+    keyed = keyed_prompts(prompts, settings)
+    if responses is None:
+        return answered(keyed, call)
+    known = keyed.join(responses.select("key", "response"), "key").select("key", "prompt", "response")
+    return known.unionByName(answered(keyed.join(responses.select("key"), "key", "left_anti"), call))
 
-def grounded_answers(questions: DataFrame, contexts: DataFrame | None, template: str, call: Callable[[str], str], sentence: str, settings: dict, responses: DataFrame | None = None) -> DataFrame:
-    """Questions (with contexts, or closed-book) to transcripts: render, complete, parse."""
+
+def grounded_answers(questions: DataFrame, contexts: DataFrame | None, template: str, call: Callable[[str], str], sentence: str, settings: dict, responses: DataFrame | None = None, cache=None) -> DataFrame:
+    """Questions (with contexts, or closed-book) to transcripts: render, complete, parse.
+
+    Replies come from ``cache`` (``answers.ResponseCache``, which keeps new ones) or ``responses``.
+    """
     rows = questions if contexts is None else questions.join(contexts.withColumnRenamed("query_id", "question_id"), "question_id", "left")
     values = {"question": "question"} | ({} if contexts is None else {"context": "context_text"})
     rows = rows.withColumn("prompt", X.render(template, **values))
-    answered = rows.join(complete(rows, responses, call, settings), "prompt").withColumnRenamed("response", "raw_completion")
+    answered = rows.join(cache.complete(rows, call, settings) if cache else complete(rows, responses, call, settings), "prompt").withColumnRenamed("response", "raw_completion")
     return answered.select("*", X.completion_parts("raw_completion", sentence).alias("_p")).select("*", "_p.*").drop("_p", "prompt", "key")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as X
+from gristmill.sources.cluster import ship
 
 
 def normalize_columns(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -37,25 +38,29 @@ def filter_language(rows: DataFrame, keep: Sequence[str], column: str = "lang")
     return rows.where(F.col(column).isin(*keep))
 
 
-#: Frequent words by language, for ``detect_language``.
+#: Frequent words by language, and letters that hardly another of these has, for ``detect_language``.
 STOP_WORDS: dict[str, tuple[str, ...]] = {
-    "en": ("the", "and", "of", "to", "in", "is", "that", "it", "for", "with", "was", "on", "this", "are"),
-    "fr": ("le", "la", "les", "de", "des", "et", "un", "une", "est", "que", "qui", "dans", "du", "pour"),
-    "de": ("der", "die", "das", "und", "ist", "ein", "eine", "nicht", "mit", "den", "von", "zu", "dem", "sich"),
-    "es": ("el", "los", "de", "que", "y", "en", "un", "una", "es", "se", "del", "las", "por", "con"),
+    "en": tuple("the and of to in is that it for with was on this are as be by not at or from have an they you which but his her had were been their has would there what will if can all we she he its".split()),
+    "fr": tuple("le la les de des et un une est que qui dans du pour en au aux pas sur plus par ne ce se il elle sont avec son sa ses mais nous vous cette ou où je tout comme être fait été leur".split()),
+    "de": tuple("der die das und ist ein eine nicht mit den von zu dem sich auf für im in es auch als an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war".split()),
+    "es": tuple("el los de que y en un una es se del las por con no para su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde".split()),
 }
+LETTERS = {"en": "", "fr": "àâçèêëîïôœùûÿ", "de": "äöüß", "es": "ñáíóú¿¡"}
+#: What a frequent word counts against one such letter.
+WORD_WEIGHT = 2
 
 
 def detect_language(c: Column | str) -> Column:
-    """The language with the most stop words in a text, ties by code; null where none occurs."""
-    words = X.split_words(F.lower(F.regexp_replace(X.text_of(c), r"(?U)[^\w\s]", " ")))
+    """The language whose frequent words and own letters a text has most of, ties by code; null where none occurs."""
+    lower = F.lower(X.text_of(c))
+    words = X.split_words(F.regexp_replace(lower, r"(?U)[^\w\s]", " "))
 
-
-    def frequency(stop: tuple[str, ...]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*stop)))
+    def weight(code: str) -> Column:
+        n = F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS[code]))) * WORD_WEIGHT
+        return n + F.regexp_count(lower, F.lit(f"[{LETTERS[code]}]")) if LETTERS[code] else n
 
     # The greatest struct has the first code among ties.
-    scores = [F.struct(frequency(stop).alias("n"), F.lit(-i).alias("i"), F.lit(code).alias("code")) for i, (code, stop) in enumerate(sorted(STOP_WORDS.items()))]
+    scores = [F.struct(weight(code).alias("n"), F.lit(-i).alias("i"), F.lit(code).alias("code")) for i, code in enumerate(sorted(STOP_WORDS))]
     best = F.array_max(F.array(*scores))
     return F.when(best["n"] > 0, best["code"])
 
@@ -150,6 +155,28 @@ def _ranked(rows: DataFrame, strata: Sequence[str], order: Column, most: int, sl
     return slim.withColumn("_rank", F.row_number().over(Window.partitionBy(*strata).orderBy("_order")))
 
 
+def with_place(rows: DataFrame, keys: Sequence[str], order: str, name: str, slices: int = 64) -> DataFrame:
+    """``rows`` with their place, from 1, by ``order`` in each key; equal ones in any order.
+
+    Places are counted inside slices of a key, between quantiles of ``order``, so no task sorts a whole
+    key; an ``order`` that is no number is one slice.
+    """
+    at = F.col(order).cast("string").try_cast("double")
+    cuts = rows.groupBy(*(F.col(k).alias(f"_of_{k}") for k in keys)).agg(F.percentile_approx(at, [i / slices for i in range(1, slices)], 1_000).alias("_cuts"))
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    sliced = rows.join(cuts, condition).select(*rows.columns, F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c <= at)).alias("_slice"))
+    sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = sliced.withColumn("_inside", F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(order)))
+    starts = sizes.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_slice").alias("_own"), before.alias("_before"))
+    condition = F.col("_slice") == F.col("_own")
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return inside.join(starts, condition).select(*rows.columns, (F.col("_inside") + F.col("_before")).alias(name))
+
+
 def stratified_sample(rows: DataFrame, targets: DataFrame, strata: Sequence[str], id_col: str, seed: int) -> DataFrame:
     """``min(target, available)`` rows of each stratum without replacement, in a seeded order."""
     most = targets.agg(F.coalesce(F.max("target"), F.lit(0))).first()[0]
@@ -214,6 +241,7 @@ def duplicate_keys(rows: DataFrame, *keys: str) -> DataFrame:
 
 def map_batches(rows: DataFrame, column: str, out: str, call: Callable[[list], list], kind: str = "string") -> DataFrame:
     """A column worked out by a function over batches: encoders, model clients."""
+    ship(rows.sparkSession)
     names = rows.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,9 +252,17 @@ def map_batches(rows: DataFrame, column: str, out: str, call: Callable[[list], l
     return rows.mapInPandas(run, schema)
 
 
-def build_corpus(reviews: DataFrame, metadata: DataFrame, weights: Mapping[str, Mapping[str, float]], target: int, seed: int, position: str, id_col: str, languages: Sequence[str] = ("en",), min_chars: int = 5, dedup_on: Sequence[str] = ("user_id", "parent_asin", "text"), factor: float = 1.5) -> DataFrame:
+def project(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The given columns in order; one that is missing is an error that names it."""
+    missing = [c for c in columns if c not in rows.columns]
+    if missing:
+        raise KeyError(f"no columns {missing}; there are {rows.columns}")
+    return rows.select(*columns)
+
+
+def build_corpus(reviews: DataFrame, metadata: DataFrame, weights: Mapping[str, Mapping[str, float]], target: int, seed: int, position: str, id_col: str, languages: Sequence[str] = ("en",), min_chars: int = 5, dedup_on: Sequence[str] = ("user_id", "parent_asin", "text"), factor: float = 1.5, columns: Sequence[str] | None = None) -> DataFrame:
     """The corpus from reviews and metadata: cap each stratum in file order, clean, drop copies,
-    keep languages, add features, join metadata, sample."""
+    keep languages, add features, join metadata, sample, and project to ``columns`` if given."""
     targets = targets_frame(reviews.sparkSession, weights, target)
     pool = reviews.withColumn("rating_bucket", X.rating_bucket("rating"))
     pool = review_features(pool).withColumn("has_image", F.col("has_image").cast("string"))
@@ -235,4 +271,5 @@ def build_corpus(reviews: DataFrame, metadata: DataFrame, weights: Mapping[str,
     pool = filter_detected(keep_first(pool, list(dedup_on), position), "text", languages)
     side = prepare_right(metadata.withColumnRenamed("title", "product_title"), "parent_asin", {}, "product_title")
     joined = join_m1(pool, side, "parent_asin", null_safe=True).drop("_matched")
-    return stratified_sample(joined, targets, list(weights), id_col, seed)
+    sampled = stratified_sample(joined, targets, list(weights), id_col, seed)
+    return sampled if columns is None else project(sampled, columns)

@@ -35,6 +35,8 @@ def score_all(hits: DataFrame, qrels: DataFrame, ks: Sequence[int]) -> DataFrame
 
 
 METRICS = ("recall", "hit", "ndcg", "mrr")
+#: Scores that may be broadcast.
+SMALL = 100_000
 
 
 def summarize(scores: DataFrame, *keys: str) -> DataFrame:
@@ -68,11 +70,15 @@ def bootstrap_ci_frame(scores: DataFrame, keys: Sequence[str], order: str, value
 def bootstrap_ci_md5(spark: SparkSession, scores: DataFrame, keys: Sequence[str], order: str, value: str, n_boot: int, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """The same interval with draws that any engine can repeat: draw i of resample b is element
     ``md5(seed:b:i) mod n`` of the group in ``order``."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
-    grouped = scores.groupBy(*keys).agg(listed.alias("v"))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("b").cast("string"), F.lit(":"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long")
-    draws = grouped.crossJoin(spark.range(n_boot).withColumnRenamed("id", "b")).select(*keys, "v", "b", F.explode(F.sequence(F.lit(0), F.size("v") - 1)).alias("i"))
-    means = draws.select(*keys, "b", F.element_at("v", (draw % F.size("v") + 1).cast("int")).alias("x")).groupBy(*keys, "b").agg(F.avg("x").alias("m"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1  # a group is a question set, small by nature
+    values = scores.select(*keys, place.cast("long").alias("at"), F.col(value).alias("x"))
+    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    # Resamples of each group, dealt out, and so many draws of each: the result's own size, not a join.
+    resamples = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "b")
+    draws = resamples.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("b").cast("string"), F.lit(":"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long")
+    values = F.broadcast(values) if values.count() <= SMALL else values
+    means = draws.select(*keys, "b", (drawn % F.col("n")).alias("at")).join(values, [*keys, "at"]).groupBy(*keys, "b").agg(F.avg("x").alias("m"))
     return means.groupBy(*keys).agg(F.percentile("m", alpha / 2).alias("low"), F.percentile("m", 1 - alpha / 2).alias("high"))
 
 
@@ -101,17 +107,26 @@ def wilcoxon(a: Sequence[float], b: Sequence[float]) -> float:
     return math.erfc(abs(t - n * (n + 1) / 4) / math.sqrt(variance) / math.sqrt(2))
 
 
-def signed_rank_parts(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``n, t, z`` of the signed-rank test of ``a`` against ``b``: all but the normal tail."""
-    d = pairs.withColumn("d", F.round(F.col("a") - F.col("b"), 12)).where("d <> 0").withColumn("size", F.abs("d"))
-    peers = Window.partitionBy(*keys, "size")
-    ranked = d.withColumn("r", F.rank().over(Window.partitionBy(*keys).orderBy("size")) + (F.count(F.lit(1)).over(peers) - 1) / 2.0)
-    sums = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("plus"), F.sum("r").alias("all"))
-    ties = d.groupBy(*keys, "size").agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"))
+def signed_rank_parts(pairs: DataFrame, keys: Sequence[str], slices: int = 64) -> DataFrame:
+    """``n, t, z`` of the signed-rank test of ``a`` against ``b``: all but the normal tail.
+
+    Equal differences meet first; their ranks come from running counts over slices of a key, laid
+    between quantiles, and then inside a slice, so no task sorts a whole key.
+    """
+    d = pairs.withColumn("d", F.round(F.col("a") - F.col("b"), 12)).where("d <> 0")
+    sizes = d.groupBy(*keys, F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("c_plus"))
+    cuts = sizes.groupBy(*keys).agg(F.percentile_approx("size", [i / slices for i in range(1, slices)], 1_000).alias("cuts"))
+    sliced = sizes.join(cuts, list(keys)).withColumn("slice", F.size(F.filter("cuts", lambda c: c <= F.col("size")))).drop("cuts")
+    per = sliced.groupBy(*keys, "slice").agg(F.sum("c").alias("held"))
+    starts = per.withColumn("start", F.coalesce(F.sum("held").over(Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("held")
+    inside = Window.partitionBy(*keys, "slice").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sliced.withColumn("before", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(starts, [*keys, "slice"])
+    r = F.col("start") + F.col("before") + (F.col("c") + 1) / 2.0
+    sums = ranked.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(r * F.col("c_plus")).alias("plus"), F.sum(r * F.col("c")).alias("all"), F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"))
     n = F.col("n").cast("double")
     t = F.least("plus", F.col("all") - F.col("plus"))
     z = F.abs(t - n * (n + 1) / 4) / F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2.0) / 24)
-    return sums.join(ties, list(keys)).select(*keys, "n", t.alias("t"), z.alias("z"))
+    return sums.select(*keys, "n", t.alias("t"), z.alias("z"))
 
 
 def paired(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -132,6 +147,25 @@ def significance(spark: SparkSession, a: DataFrame, b: DataFrame, metric: str) -
     return paired(a, b, ["k", "query_id"], metric).groupBy("k").applyInPandas(run, f"k {a.schema['k'].dataType.simpleString()}, p double")
 
 
+def n_relevant_shown(hits: DataFrame, qrels: DataFrame) -> DataFrame:
+    """``query_id, retriever, n_common``: how many of each list's documents are relevant, by partial counts."""
+    gold = qrels.select("query_id", "doc_id").distinct().withColumn("_gold", F.lit(1))
+    return hits.join(gold, ["query_id", "doc_id"], "left").groupBy("query_id", "retriever").agg(F.count("_gold").cast("int").alias("n_common"))
+
+
+def similarity(answers: DataFrame, references: DataFrame) -> DataFrame:
+    """``arm, question_id, similarity``: the cosine of an answer's vector and its reference's.
+
+    An answer without a reference fails; a vector without length has similarity null.
+    """
+    joined = answers.join(references.select("question_id", F.col("vector").alias("_reference")), "question_id", "left")
+    missing = F.raise_error(F.concat(F.lit("no reference for "), F.col("question_id").cast("string")))
+    whole = joined.where(F.when(F.col("_reference").isNull(), missing).otherwise(F.lit(True)))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    cosine = F.try_divide(dot("vector", "_reference"), F.sqrt(dot("vector", "vector")) * F.sqrt(dot("_reference", "_reference")))
+    return whole.select("arm", "question_id", cosine.alias("similarity"))
+
+
 def lopsided(diffs: DataFrame, n: int) -> DataFrame:
     """The ``n`` largest differences of each sign, ties by question; zeros belong to neither."""
     side = F.when(F.col("diff") > 0, "a").otherwise("b")
@@ -159,7 +193,9 @@ def citation_scores(transcripts: DataFrame, relevant: Column | str, expected: Co
 
 
 def citation_summary(scores: DataFrame) -> DataFrame:
-    """Micro-averaged validity and grounding, plain shares of the rest; null over nothing."""
+    """Micro-averaged validity and grounding, plain shares of the rest; no scores at all are an error."""
+    if scores.isEmpty():
+        raise ValueError("no scores to sum up")
     cited = F.sum("n_citations")
     return scores.agg(
         F.count(F.lit(1)).alias("n"),

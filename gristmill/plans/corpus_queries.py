@@ -124,15 +124,6 @@ def image_coverage(s, d):
     return rows.agg(F.coalesce(F.try_divide(F.count_if(F.expr("n_chars > 2000")) * 100.0, F.count(F.lit(1))), F.lit(0.0)).alias("pct"))
 
 
-@query(
-    """SELECT lang, count(*) AS n, count(*) FILTER (WHERE quality = 0) AS n_negative, count(*) FILTER (WHERE toxic = 1) AS n_abstentions, min(n_chars) AS least, max(n_chars) AS most
-    FROM documents JOIN labels USING (doc_id) GROUP BY lang"""
-)
-def datasheet_stats(s, d):
-    rows = table(s, d, "documents").join(table(s, d, "labels"), "doc_id")
-    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("quality = 0")).alias("n_negative"), F.count_if(F.expr("toxic = 1")).alias("n_abstentions"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
-
-
 _SPEC = [("de", 100, 5), ("en", 200, 20), ("es", 50, 5), ("it", 10, 0)]
 SPEC = "(VALUES " + ", ".join(f"('{c}', {n}, {m})" for c, n, m in _SPEC) + ") spec(category, target, negative)"
 
@@ -272,7 +263,10 @@ def intersect_decisions(s, d):
     return benchmark.decision_problems(passed, labels.where("quality = 1").select("id"), labels.where("quality = 0 OR toxic = 1").select("id"))
 
 
-@query()
+@query(
+    r"""SELECT doc_id, left(regexp_replace(text, '^\s+|\s+$', '', 'g'), 400) AS snippet FROM documents WHERE regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:the|und)(?:$|[^\p{L}\p{N}_])')
+    ORDER BY md5('42:' || doc_id) LIMIT 8"""
+)
 def context_sample(s, d):
     return benchmark.context_sample(table(s, d, "documents"), "text", ["the", "und"], 8, 42, 400, "doc_id")
 

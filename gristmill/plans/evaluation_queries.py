@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as X
+from gristmill.operators import answers as answer_ops
 from gristmill.operators import benchmark
 from gristmill.operators import evaluation as E
+from gristmill.operators import retrieval as R
+from gristmill.operators.corpus import with_place
 from gristmill.plans.registry import query, table
-from gristmill.plans.retrieval_queries import _POOL, HITS, both_hits, relevant
+from gristmill.plans.retrieval_queries import _POOL, HITS, asked, both_hits, relevant
 from gristmill.plans.text_queries import REPLIES, SENTENCE, replies
-from gristmill.operators import retrieval as R
 
 KS = (1, 3, 5, 10)
 
 SCORES = f"""WITH {HITS}, w AS (SELECT query_id, count(*) AS n_rel FROM qrels GROUP BY query_id),
     f AS (SELECT h.retriever, h.query_id, h.rank FROM hits h SEMI JOIN qrels r ON r.query_id = h.query_id AND r.doc_id = h.doc_id),
-    g AS (SELECT retriever, query_id, n_rel, k FROM w CROSS JOIN (VALUES ('dense'), ('head')) a(retriever) CROSS JOIN (VALUES (1), (3), (5), (10)) b(k)),
+    g AS (SELECT retriever, query_id, n_rel, k FROM w CROSS JOIN (VALUES ('bm25'), ('dense')) a(retriever) CROSS JOIN (VALUES (1), (3), (5), (10)) b(k)),
     scores AS (SELECT g.retriever, g.query_id, g.k, count(f.rank) / any_value(n_rel) AS recall, CASE WHEN count(f.rank) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit,
         coalesce(sum(1 / log2(f.rank + 1.0)), 0) / list_sum(list_transform(range(1, 1 + least(g.k, any_value(n_rel))), lambda r: 1 / log2(r + 1.0))) AS ndcg, coalesce(1 / min(f.rank), 0) AS mrr
         FROM g LEFT JOIN f ON f.retriever = g.retriever AND f.query_id = g.query_id AND f.rank <= g.k GROUP BY g.retriever, g.query_id, g.k)"""
@@ -25,7 +27,7 @@ SCORES = f"""WITH {HITS}, w AS (SELECT query_id, count(*) AS n_rel FROM qrels GR
 def scores(s, d):
     """Long table of all metrics for two retrievers."""
     hits, pairs = both_hits(s, d), relevant(s, d)
-    one = [E.score_all(hits.where(F.col("retriever") == name), pairs, KS).withColumn("retriever", F.lit(name)) for name in ("dense", "head")]
+    one = [E.score_all(hits.where(F.col("retriever") == name), pairs, KS).withColumn("retriever", F.lit(name)) for name in ("bm25", "dense")]
     return one[0].unionByName(one[1])
 
 
@@ -55,21 +57,33 @@ def score_long(s, d):
     return _rounded(E.score_all(both_hits(s, d).where("retriever = 'dense'"), relevant(s, d), KS), "recall", "ndcg").select(F.lit("dense").alias("retriever"), "query_id", "k", "recall", "ndcg")
 
 
-@query(f"{SCORES} SELECT retriever, k, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr, count(*) AS n FROM scores GROUP BY ALL")
+_BOOT = """lists AS (SELECT retriever, k, list(recall ORDER BY query_id) AS v FROM scores GROUP BY ALL),
+    m AS (SELECT retriever, k, b, avg(v[1 + CAST(('0x' || substr(md5('42:' || b || ':' || i), 1, 8))::BIGINT % len(v) AS INTEGER)]) AS m
+        FROM (SELECT *, unnest(range(len(v))) AS i FROM lists CROSS JOIN range(10000) r(b)) GROUP BY ALL),
+    ci AS (SELECT retriever, k, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY ALL)"""
+
+
+def intervals(s, d):
+    return _rounded(E.bootstrap_ci_md5(s, scores(s, d), ["retriever", "k"], "query_id", "recall", 10_000), "low", "high")
+
+
+@query(f"{SCORES}, {_BOOT}, a AS (SELECT retriever, k, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr, count(*) AS n FROM scores GROUP BY ALL) SELECT * FROM a JOIN ci USING (retriever, k)")
 def metric_summary(s, d):
-    return _rounded(E.summarize(scores(s, d), "retriever", "k"), *E.METRICS)
+    means = _rounded(E.summarize(scores(s, d), "retriever", "k"), *E.METRICS)
+    return means.join(intervals(s, d), ["retriever", "k"]).orderBy("k", "retriever")
 
 
-@query(f"{SCORES} SELECT retriever AS scheme, k, round(avg(recall), 6) AS recall, count(*) AS n FROM scores GROUP BY ALL")
+@query(f"{SCORES}, {_BOOT}, a AS (SELECT retriever, k, round(avg(recall), 6) AS recall, count(*) AS n FROM scores GROUP BY ALL) SELECT retriever AS scheme, k, recall, n, low, high FROM a JOIN ci USING (retriever, k)")
 def recall_summary(s, d):
-    return _rounded(E.summarize(scores(s, d).select(F.col("retriever").alias("scheme"), "k", "recall"), "scheme", "k"), "recall")
+    means = _rounded(E.summarize(scores(s, d).select("retriever", "k", "recall"), "retriever", "k"), "recall")
+    return means.join(intervals(s, d), ["retriever", "k"]).withColumnRenamed("retriever", "scheme").orderBy("scheme", "k")
 
 
-_TYPED = f"{SCORES}, typed AS (SELECT s.*, label AS type FROM scores s JOIN embeddings ON vec_id = query_id)"
+_TYPED = f"{SCORES}, typed AS (SELECT s.*, type FROM scores s JOIN asked USING (query_id))"
 
 
 def typed(s, d):
-    return scores(s, d).join(table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("type")), "query_id")
+    return scores(s, d).join(asked(s, d).select("query_id", "type"), "query_id")
 
 
 @query(f"{_TYPED} SELECT retriever, type, round(avg(recall), 6) AS recall, count(*) AS n FROM typed WHERE k = 5 GROUP BY ALL")
@@ -78,21 +92,21 @@ def recall_by_type(s, d):
 
 
 @query(
-    f"""{_TYPED}, p AS (SELECT type, round(avg(recall) FILTER (WHERE retriever = 'dense'), 6) AS dense, round(avg(recall) FILTER (WHERE retriever = 'head'), 6) AS head FROM typed WHERE k = 10 GROUP BY type)
-    SELECT *, CASE WHEN abs(dense - head) < 1e-9 THEN 'tie' WHEN dense > head THEN 'dense' ELSE 'head' END AS leader FROM p"""
+    f"""{_TYPED}, p AS (SELECT type, round(avg(recall) FILTER (WHERE retriever = 'dense'), 6) AS dense, round(avg(recall) FILTER (WHERE retriever = 'bm25'), 6) AS bm25 FROM typed WHERE k = 10 GROUP BY type)
+    SELECT *, CASE WHEN abs(dense - bm25) < 1e-9 THEN 'tie' WHEN dense > bm25 THEN 'dense' ELSE 'bm25' END AS leader FROM p"""
 )
 def pivot_retriever(s, d):
-    wide = typed(s, d).where("k = 10").groupBy("type").pivot("retriever", ["dense", "head"]).agg(F.round(F.avg("recall"), 6))
-    leader = F.when(F.abs(F.col("dense") - F.col("head")) < 1e-9, "tie").when(F.col("dense") > F.col("head"), "dense").otherwise("head")
+    wide = typed(s, d).where("k = 10").groupBy("type").pivot("retriever", ["dense", "bm25"]).agg(F.round(F.avg("recall"), 6))
+    leader = F.when(F.abs(F.col("dense") - F.col("bm25")) < 1e-9, "tie").when(F.col("dense") > F.col("bm25"), "dense").otherwise("bm25")
     return wide.withColumn("leader", leader)
 
 
-_DIFF = f"{SCORES}, dif AS (SELECT query_id, round(max(recall) FILTER (WHERE retriever = 'dense') - max(recall) FILTER (WHERE retriever = 'head'), 6) AS diff FROM scores WHERE k = 10 GROUP BY query_id)"
+_DIFF = f"{SCORES}, dif AS (SELECT query_id, round(max(recall) FILTER (WHERE retriever = 'dense') - max(recall) FILTER (WHERE retriever = 'bm25'), 6) AS diff FROM scores WHERE k = 10 GROUP BY query_id)"
 
 
 def diffs(s, d):
-    wide = scores(s, d).where("k = 10").groupBy("query_id").pivot("retriever", ["dense", "head"]).agg(F.first("recall"))
-    return wide.select("query_id", F.round(F.col("dense") - F.col("head"), 6).alias("diff"))
+    wide = scores(s, d).where("k = 10").groupBy("query_id").pivot("retriever", ["dense", "bm25"]).agg(F.first("recall"))
+    return wide.select("query_id", F.round(F.col("dense") - F.col("bm25"), 6).alias("diff"))
 
 
 @query(f"{_DIFF} SELECT query_id, diff FROM dif WHERE diff <> 0")
@@ -105,12 +119,12 @@ def lopsided_topn(s, d):
     return E.lopsided(diffs(s, d), 4)
 
 
-_PAIRS = f"{SCORES}, pairs AS (SELECT k, query_id, max(recall) FILTER (WHERE retriever = 'dense') AS a, max(recall) FILTER (WHERE retriever = 'head') AS b FROM scores GROUP BY ALL)"
+_PAIRS = f"{SCORES}, pairs AS (SELECT k, query_id, max(recall) FILTER (WHERE retriever = 'dense') AS a, max(recall) FILTER (WHERE retriever = 'bm25') AS b FROM scores GROUP BY ALL)"
 
 
 def _pairs(s, d):
     rows = scores(s, d)
-    return E.paired(rows.where("retriever = 'dense'"), rows.where("retriever = 'head'"), ["k", "query_id"], "recall")
+    return E.paired(rows.where("retriever = 'dense'"), rows.where("retriever = 'bm25'"), ["k", "query_id"], "recall")
 
 
 @query(f"{_PAIRS} SELECT k, query_id, round(a, 6) AS a, round(b, 6) AS b FROM pairs")
@@ -136,40 +150,41 @@ def wilcoxon(s, d):
 @query()
 def wilcoxon_p(s, d):
     rows = scores(s, d)
-    return E.significance(s, rows.where("retriever = 'dense'"), rows.where("retriever = 'head'"), "recall")
+    return E.significance(s, rows.where("retriever = 'dense'"), rows.where("retriever = 'bm25'"), "recall")
 
 
-@query(
-    f"""{_PAIRS}, sig AS (SELECT k, count(*) AS n, count(*) FILTER (WHERE abs(a - b) > 1e-12) AS n_different FROM pairs GROUP BY k)
-    SELECT retriever, k, round(avg(recall), 6) AS recall, any_value(sig.n_different) AS n_different FROM scores LEFT JOIN sig USING (k) GROUP BY retriever, k"""
-)
+_SIGNED = """nz AS (SELECT k, round(a - b, 12) AS dd, abs(round(a - b, 12)) AS size FROM pairs WHERE round(a - b, 12) <> 0),
+    r AS (SELECT k, dd, rank() OVER (PARTITION BY k ORDER BY size) + (count(*) OVER (PARTITION BY k, size) - 1) / 2 AS r FROM nz),
+    sums AS (SELECT k, count(*) AS n, sum(CASE WHEN dd > 0 THEN r ELSE 0 END) AS plus, sum(r) AS everything FROM r GROUP BY k),
+    ties AS (SELECT k, sum(c * c * c - c) AS ties FROM (SELECT k, size, CAST(count(*) AS HUGEINT) AS c FROM nz GROUP BY ALL) GROUP BY k),
+    st AS (SELECT k, n, least(plus, everything - plus) AS t, CAST(n AS DOUBLE) AS m, CAST(ties AS DOUBLE) AS ties FROM sums JOIN ties USING (k)),
+    sig AS (SELECT k, n AS n_different, round(abs(t - m * (m + 1) / 4) / sqrt((m * (m + 1) * (2 * m + 1) - ties / 2) / 24), 6) AS z FROM st)"""
+
+
+@query(f"{_PAIRS}, {_SIGNED}, a AS (SELECT retriever, k, round(avg(recall), 6) AS recall FROM scores GROUP BY ALL) SELECT retriever, k, recall, n_different, z FROM a LEFT JOIN sig USING (k)")
 def significance_broadcast(s, d):
-    sig = _pairs(s, d).groupBy("k").agg(F.count_if(F.expr("abs(a - b) > 1e-12")).alias("n_different"))
+    """The test's statistic beside both retrievers' means; its p-value is in ``wilcoxon_p``."""
+    sig = E.signed_rank_parts(_pairs(s, d), ["k"]).select("k", F.col("n").alias("n_different"), F.round("z", 6).alias("z"))
     summary = _rounded(E.summarize(scores(s, d).select("retriever", "k", "recall"), "retriever", "k"), "recall").drop("n")
-    return summary.join(F.broadcast(sig), "k", "left")  # one row per k
+    return summary.join(F.broadcast(sig), "k", "left").orderBy("k", "retriever")  # one row per k
 
 
 @query()
 def bootstrap_ci(s, d):
-    return E.bootstrap_ci_frame(scores(s, d), ["retriever", "k"], "query_id", "recall", n_boot=2000)
+    return E.bootstrap_ci_frame(scores(s, d), ["retriever", "k"], "query_id", "recall")
 
 
-@query(
-    f"""{SCORES}, lists AS (SELECT retriever, k, list(recall ORDER BY query_id) AS v FROM scores GROUP BY ALL),
-    m AS (SELECT retriever, k, b, avg(v[1 + CAST(('0x' || substr(md5('42:' || b || ':' || i), 1, 8))::BIGINT % len(v) AS INTEGER)]) AS m
-        FROM (SELECT *, unnest(range(len(v))) AS i FROM lists CROSS JOIN range(500) r(b)) GROUP BY ALL)
-    SELECT retriever, k, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY ALL"""
-)
+@query(f"{SCORES}, {_BOOT} SELECT * FROM ci")
 def bootstrap_ci_md5(s, d):
-    return _rounded(E.bootstrap_ci_md5(s, scores(s, d), ["retriever", "k"], "query_id", "recall", 500), "low", "high")
+    return intervals(s, d)
 
 
-@query("SELECT a.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@query("SELECT 'plain' AS arm, a.vec_id AS question_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def embedding_similarity(s, d):
-    rows = table(s, d, "embeddings").select("vec_id", "embedding")
-    other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("reference"))
-    cosine = R.dot(R.normalized("embedding"), R.normalized("reference"))
-    return rows.join(other, "vec_id").select(F.col("vec_id").alias("id"), F.round(cosine, 6).alias("similarity"))
+    """Each vector against its successor's; the last one has none and isn't asked."""
+    rows = table(s, d, "embeddings").select(F.lit("plain").alias("arm"), F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    references = rows.select((F.col("question_id") - 1).alias("question_id"), "vector")
+    return _rounded(E.similarity(rows.join(references.select("question_id"), "question_id", "left_semi"), references), "similarity")
 
 
 def transcripts(s, d):
@@ -202,38 +217,41 @@ def except_cited(s, d):
 
 @query(f"WITH {HITS} SELECT query_id, retriever, CAST(count(q.doc_id) AS INTEGER) AS n_common FROM hits h LEFT JOIN qrels q USING (query_id, doc_id) GROUP BY ALL")
 def set_metrics(s, d):
-    hits = both_hits(s, d).groupBy("query_id", "retriever").agg(F.collect_list("doc_id").alias("top"))
-    wanted = relevant(s, d).groupBy("query_id").agg(F.collect_list("doc_id").alias("gold"))
-    return hits.join(wanted, "query_id", "left").select("query_id", "retriever", F.coalesce(F.size(F.array_intersect("top", "gold")), F.lit(0)).alias("n_common"))
+    return E.n_relevant_shown(both_hits(s, d), relevant(s, d))
 
 
-_LABELS = "lab AS (SELECT query_id AS question_id, doc_id, 1 AS relevant FROM qrels WHERE query_id < 200 UNION ALL SELECT query_id, doc_id, 0 FROM pooled p ANTI JOIN qrels USING (query_id, doc_id) WHERE query_id >= 100)"
+_LABELS = "lab AS (SELECT p.query_id AS question_id, p.doc_id, CASE WHEN r.doc_id IS NULL THEN 0 ELSE 1 END AS relevant FROM pooled p LEFT JOIN qrels r USING (query_id, doc_id) WHERE best_rank < 10)"
 
 
 def labels(s, d):
-    """Labels that leave some pooled pairs out: positives under 200, negatives from 100 on."""
-    pooled = R.pool(both_hits(s, d)).select(F.col("query_id").alias("question_id"), "doc_id")
-    gold = relevant(s, d).withColumnRenamed("query_id", "question_id")
-    positive = gold.where("question_id < 200").withColumn("relevant", F.lit(1))
-    negative = pooled.join(gold, ["question_id", "doc_id"], "left_anti").where("question_id >= 100").withColumn("relevant", F.lit(0))
-    return pooled, positive.unionByName(negative)
+    """Labels of the pooled pairs but those that only a last place brought in."""
+    pooled = R.pool(both_hits(s, d))
+    gold = relevant(s, d).withColumn("relevant", F.lit(1))
+    given = pooled.where("best_rank < 10").join(gold, ["query_id", "doc_id"], "left").select(F.col("query_id").alias("question_id"), "doc_id", F.coalesce("relevant", F.lit(0)).alias("relevant"))
+    return pooled.select(F.col("query_id").alias("question_id"), "doc_id"), given
 
 
 @query(
-    f"""{_POOL}, {_LABELS}, n AS (SELECT question_id, sum(relevant) AS n FROM lab GROUP BY question_id), asked AS (SELECT DISTINCT query_id AS question_id FROM pooled)
+    f"""{_POOL}, {_LABELS}, n AS (SELECT query_id AS question_id, is_negative, coalesce(sum(relevant), 0) AS n FROM asked SEMI JOIN pooled USING (query_id) LEFT JOIN lab ON question_id = query_id GROUP BY ALL)
     SELECT DISTINCT query_id AS question_id, 'unlabeled_pair' AS problem FROM pooled p WHERE NOT EXISTS (SELECT 1 FROM lab l WHERE l.question_id = p.query_id AND l.doc_id = p.doc_id)
-    UNION ALL SELECT question_id, CASE WHEN question_id IN (50, 400) THEN 'negative_with_positive' ELSE 'answerable_without_positive' END FROM asked LEFT JOIN n USING (question_id)
-    WHERE (question_id IN (50, 400) AND coalesce(n, 0) > 0) OR (question_id NOT IN (50, 400) AND coalesce(n, 0) = 0)"""
+    UNION ALL SELECT question_id, CASE WHEN is_negative THEN 'negative_with_positive' ELSE 'answerable_without_positive' END FROM n WHERE is_negative = (n > 0)"""
 )
 def validate_labels(s, d):
     pooled, given = labels(s, d)
-    negatives = s.createDataFrame([(50,), (400,)], "question_id long")
+    negatives = asked(s, d).where("is_negative").select(F.col("query_id").alias("question_id"))
     return benchmark.label_problems(pooled, given, negatives)
 
 
-@query(f"{_POOL}, {_LABELS} SELECT question_id, CAST(sum(relevant) AS BIGINT) AS n_positive, count(*) AS n FROM lab GROUP BY question_id")
+@query(
+    f"""{_POOL}, {_LABELS}, n AS (SELECT query_id, is_negative, coalesce(sum(relevant), 0) AS n FROM asked SEMI JOIN pooled USING (query_id) LEFT JOIN lab ON question_id = query_id GROUP BY ALL)
+    SELECT count(*) AS n_questions, CAST(sum(n) AS BIGINT) AS n_positive, round_even(100.0 * count(*) FILTER (WHERE n > 0) / count(*), 2) AS pct_with_positive,
+        coalesce(string_agg(CAST(query_id AS VARCHAR), ',' ORDER BY CAST(query_id AS VARCHAR)) FILTER (WHERE NOT is_negative AND n = 0), '') AS zero_positive,
+        coalesce(string_agg(CAST(query_id AS VARCHAR), ',' ORDER BY CAST(query_id AS VARCHAR)) FILTER (WHERE is_negative AND n > 0), '') AS unexpected_positive FROM n"""
+)
 def label_stats(s, d):
-    return labels(s, d)[1].groupBy("question_id").agg(F.sum("relevant").alias("n_positive"), F.count(F.lit(1)).alias("n"))
+    pooled, given = labels(s, d)
+    rows = benchmark.label_stats(pooled, given, asked(s, d).select(F.col("query_id").alias("question_id"), "is_negative"))
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("zero_positive", "unexpected_positive")})
 
 
 def answers(s, d):
@@ -272,6 +290,17 @@ def validate_entries(s, d):
     return benchmark.entry_problems(answers(s, d))
 
 
+@query(
+    f"""SELECT count(*) AS total, count(*) FILTER (WHERE lang = 'de') AS n_negative, count(*) FILTER (WHERE ab) AS n_abstention, count(*) FILTER (WHERE lang IN ('es', 'fr')) AS n_image_target,
+    count(*) FILTER (WHERE lang = 'es') AS n_with_photo, round_even(100.0 * count(*) FILTER (WHERE lang = 'es') / count(*) FILTER (WHERE lang IN ('es', 'fr')), 2) AS image_coverage_pct,
+    min(CAST(has_rel AS INTEGER)) AS min_relevant, max(CAST(has_rel AS INTEGER)) AS max_relevant, round_even(avg(CAST(has_rel AS INTEGER)), 2) AS mean_relevant,
+    round_even(avg(CAST(cites AS INTEGER)) FILTER (WHERE NOT ab), 2) AS mean_citations FROM {_ANSWERS}"""
+)
+def datasheet_stats(s, d):
+    rows = answers(s, d).join(table(s, d, "documents").select(F.col("doc_id").alias("question_id"), F.col("lang").isin("es", "fr").alias("image_target")), "question_id")
+    return benchmark.datasheet_stats(rows)
+
+
 @query(
     """WITH t AS (SELECT doc_id AS question_id, n_chars FROM documents WHERE lang = 'en'), p AS (SELECT doc_id AS question_id, CASE WHEN quality = 1 THEN doc_id END AS doc_id FROM labels)
     SELECT question_id, problem FROM (SELECT question_id, CASE WHEN p.question_id IS NULL THEN 'undecided' WHEN p.doc_id IS NOT NULL AND n_chars <= 1000 THEN 'not_a_candidate' WHEN p.doc_id IS NULL AND n_chars > 1000 THEN 'none_though_candidates' END AS problem
@@ -292,6 +321,31 @@ def run_completeness(s, d):
     return benchmark.completeness_problems(expected, given)
 
 
+@query(
+    """WITH e AS (SELECT row_number() OVER (ORDER BY doc_id) AS place, doc_id FROM documents), g AS (SELECT row_number() OVER (ORDER BY doc_id) AS place, doc_id FROM labels)
+    SELECT place, e.doc_id AS expected_id, g.doc_id AS given_id FROM e FULL JOIN g USING (place) WHERE e.doc_id IS DISTINCT FROM g.doc_id"""
+)
+def run_order(s, d):
+    """The labels as a run over all documents: from its first gap on it is out of order."""
+    expected, given = (with_place(table(s, d, name).select(F.col("doc_id").alias("question_id"), F.lit(0).alias("run")), ["run"], "question_id", "place") for name in ("documents", "labels"))
+    return benchmark.order_problems(expected, given)
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN conv_id = turn THEN 1 ELSE 2 END AS n_cited FROM {REPLIES} r WHERE NOT contains(reply, '{SENTENCE}')")
+def reference_answers(s, d):
+    """Replies as reference answers; those that abstain and cite would fail, and are left to a test."""
+    rows = replies(s, d).where(~X.abstained("reply", SENTENCE)).select(F.struct("conv_id", "turn").alias("question_id"), F.col("reply").alias("answer"))
+    return answer_ops.reference_answers(rows, SENTENCE).select("question_id.*", F.size("cited_doc_ids").alias("n_cited"))
+
+
+@query("SELECT item_id, place FROM (SELECT item_id, CAST(row_number() OVER (ORDER BY item_id DESC) AS INTEGER) AS place FROM benchmark)")
+def select_in_order(s, d):
+    """All questions, asked for in descending order."""
+    ids = [r["item_id"] for r in table(s, d, "benchmark").select("item_id").orderBy(F.desc("item_id")).collect()]  # a benchmark's questions
+    rows = answer_ops.select_in_order(table(s, d, "benchmark"), "item_id", ids)
+    return rows.select("item_id", (F.monotonically_increasing_id() + 1).cast("int").alias("place"))
+
+
 @query("WITH g AS (SELECT CAST(quality AS DOUBLE) AS a, CAST(toxic AS DOUBLE) AS b FROM labels) SELECT round(1 - avg((a - b) * (a - b)) / (avg(a * a) + avg(b * b) - 2 * avg(a) * avg(b)), 6) AS kappa FROM g")
 def cohen_kappa(s, d):
     return _rounded(E.cohen_kappa(table(s, d, "labels"), "quality", "toxic"), "kappa")

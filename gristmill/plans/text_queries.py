@@ -31,13 +31,17 @@ def sample_head(s, d):
     return readers.sample_head(table(s, d, "events").select("event_id", "user_id", "props"), 100, "event_id")
 
 
+_KINDS = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
+
+
 @query(
     " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS null_count, (count(*) - count({c})) * 100.0::DOUBLE / count(*) AS null_pct, min(left(CAST({c} AS VARCHAR), 120)) AS example FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars")
+        f"SELECT '{c}' AS \"column\", '{kind}' AS dtype, count(*) - count({c}) AS null_count, round_even((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) AS null_pct, first(left(CAST({c} AS VARCHAR), 120) ORDER BY doc_id) FILTER (WHERE {c} IS NOT NULL) AS example FROM documents"
+        for c, kind in _KINDS.items()
     )
 )
 def schema_summary(s, d):
-    return readers.schema_summary(table(s, d, "documents")).drop("dtype")
+    return readers.schema_summary(table(s, d, "documents"))
 
 
 @query("SELECT doc_id, lang FROM documents")
@@ -70,7 +74,17 @@ def filter_language(s, d):
     return corpus.filter_language(table(s, d, "documents"), ["en", "de"]).select("doc_id", "source")
 
 
-@query()
+_LANGUAGE = ", ".join(
+    f"{corpus.WORD_WEIGHT} * len(list_filter(w, lambda x: list_contains([{', '.join(repr(w) for w in words)}], x)))" + (f" + len(regexp_extract_all(t, '[{corpus.LETTERS[code]}]'))" if corpus.LETTERS[code] else "") + f" AS {code}"
+    for code, words in corpus.STOP_WORDS.items()
+)
+
+
+@query(
+    rf"""WITH l AS (SELECT doc_id, lang, lower(coalesce(text, '')) AS t, string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+') AS w FROM documents),
+    n AS (SELECT doc_id, lang, {_LANGUAGE} FROM l)
+    SELECT doc_id, lang, CASE greatest(de, en, es, fr) WHEN 0 THEN NULL WHEN de THEN 'de' WHEN en THEN 'en' WHEN es THEN 'es' ELSE 'fr' END AS detected FROM n"""
+)
 def detect_language(s, d):
     return table(s, d, "documents").select("doc_id", "lang", corpus.detect_language("text").alias("detected"))
 
@@ -120,9 +134,10 @@ def filter_scorable(s, d):
 )
 def image_target_flag(s, d):
     docs = table(s, d, "documents")
-    cover = docs.groupBy("lang").agg((F.count_if(F.expr("n_chars > 2000")) * 100.0 / F.count(F.lit(1))).alias("pct"))
-    negative = table(s, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return docs.join(cover, "lang").join(negative, "doc_id", "left").select("doc_id", ((F.coalesce("quality", F.lit(0)) == 1) & (F.col("pct") >= 40.0)).alias("image_target"))
+    cover = docs.groupBy(F.col("lang").alias("category")).agg((F.count_if(F.expr("n_chars > 2000")) * 100.0 / F.count(F.lit(1))).alias("pct"))
+    good = table(s, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    questions = docs.join(good, "doc_id", "left").select("doc_id", F.col("lang").alias("category"), (F.coalesce("quality", F.lit(0)) != 1).alias("is_negative"))
+    return benchmark.image_targets(questions, cover, 40.0).select("doc_id", "image_target")
 
 
 _IMAGES_SQL = """CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderpriority LIKE '1%' THEN [] ELSE [
@@ -158,17 +173,24 @@ def review_features(s, d):
 
 
 @query(
-    """SELECT d.doc_id FROM documents d JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) USING (doc_id) WHERE n_chars > 1000 ORDER BY doc_id"""
+    """SELECT toxic AS question_id, array_to_string(list(DISTINCT doc_id ORDER BY doc_id), ',') AS doc_ids FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND n_chars > 1000 GROUP BY toxic"""
 )
 def image_bearing_candidates(s, d):
-    relevant = table(s, d, "labels").where("quality = 1").select("doc_id")
-    return table(s, d, "documents").where("n_chars > 1000").join(relevant, "doc_id", "left_semi").select("doc_id").orderBy("doc_id")
+    relevant = table(s, d, "labels").where("quality = 1").select(F.col("toxic").alias("question_id"), "doc_id")
+    corpus_ = table(s, d, "documents").withColumn("has_image", F.col("n_chars") > 1000)
+    return benchmark.image_candidates(relevant, corpus_).select("question_id", F.array_join("doc_ids", ",").alias("doc_ids"))
 
 
-@query("SELECT doc_id, left(text, 600) AS snippet FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+@query(
+    """SELECT doc_id, left(text, 600) AS text, CAST(n_chars % 5 + 1 AS DOUBLE) AS rating, n_chars > 2000 AS has_image, CASE WHEN n_chars > 2000 THEN 'photo-' || doc_id END AS image_url
+    FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"""
+)
 def snippet_lookup(s, d):
-    ids = table(s, d, "labels").where("toxic = 1").select("doc_id")
-    return table(s, d, "documents").join(ids, "doc_id", "left_semi").select("doc_id", F.substring("text", 1, 600).alias("snippet"))
+    photo = F.concat(F.lit("photo-"), F.col("doc_id").cast("string"))
+    docs = table(s, d, "documents").withColumns(
+        {"rating": (F.col("n_chars") % 5 + 1).cast("double"), "has_image": F.col("n_chars") > 2000, "image_urls": F.when(F.col("n_chars") > 2000, F.array(photo)).otherwise(F.array().cast("array<string>"))}
+    )
+    return benchmark.snippets(table(s, d, "labels").where("toxic = 1"), docs, 600)
 
 
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS INTEGER) AS token_len FROM documents")

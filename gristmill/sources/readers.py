@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import json
+import shutil
+import time
+import urllib.error
+import urllib.request
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.functions.text import strip
+from gristmill.sources.sinks import sha256_file
 
 #: Schemas of the record files, all read by ``read_records``.
 RECORDS = {
@@ -56,15 +61,17 @@ def sample_head(rows: DataFrame, n: int, *order: str) -> DataFrame:
 
 
 def schema_summary(rows: DataFrame) -> DataFrame:
-    """Per column: type, nulls, their share in percent, and an example of at most 120 characters."""
+    """Per column: type, nulls, their share in percent, and an example of at most 120 characters:
+    the first value there is, in the order of the rows as they are read."""
     n = F.count(F.lit(1))
     parts = []
     for field in rows.schema:
         c = F.col(f"`{field.name}`")
         nulls = F.count_if(c.isNull())
-        example = F.min(F.substring(c.cast("string"), 1, 120)) if not isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.min(F.substring(F.to_json(c), 1, 120))
+        shown = F.to_json(c) if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)) else c.cast("string")
+        example = F.min_by(F.substring(shown, 1, 120), F.when(c.isNotNull(), F.col("_at")))
         parts.append(F.struct(F.lit(field.name).alias("column"), F.lit(field.dataType.simpleString()).alias("dtype"), nulls.alias("null_count"), F.bround(F.try_divide(nulls * 100.0, n), 2).alias("null_pct"), example.alias("example")))
-    return rows.agg(F.array(*parts).alias("c")).select(F.inline("c"))
+    return rows.withColumn("_at", F.monotonically_increasing_id()).agg(F.array(*parts).alias("c")).select(F.inline("c"))
 
 
 def lean_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -92,5 +99,36 @@ def parse_decisions(text: str) -> dict:
     return {k: found.get(k, []) for k in ("accepted", "rejected", "negative_questions")}
 
 
+def download(url: str, path: str, chunk: int = 1 << 20, tries: int = 5, wait_s: float = 1.0, sha256: str | None = None) -> Path:
+    """A file from a server, going on where an earlier attempt stopped.
+
+    Bytes go to ``<path>.part``; the file takes its name when it is whole (and has the hash).
+    """
+    target, part = Path(path), Path(f"{path}.part")
+    if target.exists():
+        return target
+    target.parent.mkdir(parents=True, exist_ok=True)
+    for attempt in range(tries):
+        have = part.stat().st_size if part.exists() else 0
+        request = urllib.request.Request(url, headers={"Range": f"bytes={have}-"} if have else {})
+        try:
+            with urllib.request.urlopen(request, timeout=60) as reply, part.open("ab" if have and reply.status == 206 else "wb") as out:
+                shutil.copyfileobj(reply, out, chunk)
+            break
+        except urllib.error.HTTPError as error:
+            if error.code == 416:  # nothing is left to send
+                break
+            if error.code < 500 or attempt == tries - 1:
+                raise
+        except OSError:
+            if attempt == tries - 1:
+                raise
+        time.sleep(wait_s * 2**attempt)
+    if sha256 and sha256_file(str(part)) != sha256:
+        part.unlink()
+        raise ValueError(f"{url}: the file isn't the one expected")
+    return part.replace(target)
+
+
 def read_template(path: str) -> str:
     return Path(path).read_text(encoding="utf-8")

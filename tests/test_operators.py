@@ -99,7 +99,7 @@ def test_dense_search_in_blocks(spark):
     df = spark.createDataFrame(rows, "doc_id long, vector array<double>")
     asked = df.where("doc_id < 9").withColumnRenamed("doc_id", "query_id")
     a = sorted(map(tuple, R.dense_top_k(df, asked, 3).select("query_id", "doc_id", "rank").collect()))
-    b = sorted(map(tuple, R.dense_top_k(df, asked, 3, block=4).select("query_id", "doc_id", "rank").collect()))
+    b = sorted(map(tuple, R.dense_top_k(df, asked, 3, block_bytes=200).select("query_id", "doc_id", "rank").collect()))
     assert a == b and len(a) == 27
 
 
