@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.sources.cluster import clean, materialize, scratch_root, ship  # noqa: F401
+
 #: Words of a text, here and in SQL: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,58 +19,9 @@ BATCH_ROWS = 500
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows and let executors import this package.
-
-    The package travels as one zip through Spark's own file server, so workers need no shared
-    code folder.  Doing it again in the same application is free.
-    """
+    """Bound Arrow batches of this session by rows, and let executors import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    sc = spark.sparkContext
-    if getattr(sc, "_gristmill_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="gristmill-"), "gristmill_src.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
-        for path in sorted(root.rglob("*.py")):
-            out.write(path, str(path.relative_to(root.parent)))
-    sc.addPyFile(target)
-    sc._gristmill_shipped = True
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: one of this application in ``spark.checkpoint.dir``.
-
-    Where the session leaves that unset, a local folder serves a session on one machine; any other
-    session fails, since its executors don't share folders.  Tables stay until the driver ends or
-    ``clean`` is called, since results are read from them.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not getattr(spark, "_gristmill_scratch", None):
-            spark._gristmill_scratch = tempfile.mkdtemp(prefix="gristmill-scratch-")
-            atexit.register(shutil.rmtree, spark._gristmill_scratch, ignore_errors=True)
-        root = "file://" + spark._gristmill_scratch
-    return f"{root.rstrip('/')}/gristmill/{spark.sparkContext.applicationId}"
-
-
-def clean(spark: SparkSession) -> None:
-    """Delete all intermediate tables of this application; results that weren't written are lost."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
-
-
-def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder (or at ``path``) and return a scan of it.
-
-    This cuts lineage in a way that outlives executors: a later stage rereads files instead of
-    recomputing, and needs only the columns it uses.
-    """
-    spark = df.sparkSession
-    path = path or f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,3 +44,26 @@ def slices(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, list[
         size += len(text)
     if group:
         yield first, group
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def with_place(df: DataFrame, part: str, row: str) -> DataFrame:
+    """``df`` with where each row stands: the number of its file and its row in it.
+
+    Rows that were sorted before they were written are in order of these two, in whatever order
+    files are read.  Where ``df`` isn't read from files, its partitions take the files' place.
+    """
+    try:
+        file = F.regexp_extract(F.col("_metadata.file_name"), r"part-([0-9]+)", 1).try_cast("int")
+        return df.select("*", file.alias(part), F.col("_metadata.row_index").alias(row))
+    except AnalysisException:  # more than a scan: it has no such column
+        return df.select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().alias(row))
