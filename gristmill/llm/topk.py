@@ -1,7 +1,7 @@
 """Exact top-k search by inner product.
 
 Queries go out in blocks of bounded size; every task multiplies a block with tiles of its shard,
-keeps the best ``k`` of each tile, folds them into its running lists, and a tree of merges joins
+picks from each tile what beats its running lists of the best ``k``, and a tree of merges joins
 the lists of all tasks.  Scores are integers, so results do not depend on the order of merging.
 """
 
@@ -9,110 +9,156 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import isqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gristmill.llm.common import materialize, prepare
 
-#: Queries in a block (at 64 components: 4 MB) and rows in a tile.
-BLOCK, TILE = 8_192, 2_048
+#: Bytes of queries that one pass over the vectors searches, and rows of queries and of candidates in a tile.
+BLOCK_BYTES, QUERIES, TILE = 32 << 20, 1_024, 2_048
 #: Lists that one merge joins.
 FAN_IN = 16
 
+_LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
-def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """``vec_id`` and ``floor(scale * x)`` of each component, without rows that take no part."""
-    v = F.col(vector_col)
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    return vectors.where(v.isNotNull() & F.col(id_col).isNotNull() & F.coalesce(finite, F.lit(False))).select(
-        F.col(id_col).alias("vec_id"), F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).cast("array<long>").alias("v")
-    )
 
+def matrices(ids: pa.Array, vectors: pa.ListArray, scale: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``ids`` and ``floor(scale * vector)`` by dimension, without rows that take no part."""
+    lengths = np.diff(vectors.offsets.to_numpy())
+    there = vectors.is_valid().to_numpy(zero_copy_only=False) & ids.is_valid().to_numpy(zero_copy_only=False)
+    for dim in np.unique(lengths[there]):
+        rows = np.flatnonzero(there & (lengths == dim))
+        flat = vectors.take(pa.array(rows)).flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+        with np.errstate(over="ignore", invalid="ignore"):
+            values = np.floor(flat.reshape(len(rows), dim) * scale)
+        fine = np.isfinite(values).all(1)
+        if fine.any():
+            yield ids.take(pa.array(rows[fine])).to_numpy(zero_copy_only=False).astype(np.int64), values[fine]
 
-def _scores(queries: np.ndarray, tile: np.ndarray) -> np.ndarray:
-    """Exact inner products; floats where every sum stays below 2**53, else integers."""
-    if not tile.size:
-        return np.zeros((len(queries), len(tile)), np.int64)
-    bound = int(np.abs(queries).max(initial=0)) * int(np.abs(tile).max(initial=0)) * tile.shape[1]
-    if bound < 2**53:
-        return (queries.astype(np.float64) @ tile.T.astype(np.float64)).astype(np.int64)
-    if bound >= 2**63:
-        raise OverflowError("an inner product may not fit a long")
-    return queries @ tile.T
 
+def scores(queries: np.ndarray, tile: np.ndarray) -> np.ndarray:
+    """Inner products of whole-numbered rows, exact; beyond a long they count as the nearest long.
 
-def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row of ``scores``: its index, the ids and the scores of its best ``k``.
-
-    A candidate with the query's own id takes no part; ties go to smaller ids.
+    Rows of components so small that no sum reaches 2**53 are multiplied as floats, others up to
+    2**63 as integers, and the few beyond as numbers of any length.
     """
-    for q in range(len(scores)):
-        row, keep = scores[q], ids != own[q]
-        at = np.flatnonzero(keep)
-        if len(at) > k:
-            least = np.partition(row[at], len(at) - k)[len(at) - k]
-            at = at[row[at] >= least]
-        at = at[np.lexsort((ids[at], -row[at]))[:k]]
-        yield q, ids[at], row[at]
-
-
-def _partial(block: list[tuple[int, int, list[int]]], k: int):
-    by_dim: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    for dim in {len(v) for _, _, v in block}:
-        rows = [r for r in block if len(r[2]) == dim]
-        by_dim[dim] = (np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64).reshape(len(rows), dim))
-    return by_dim
+    dim = max(1, tile.shape[1])
+    small, middle = isqrt((2**53 - 1) // dim), isqrt((2**63 - 1) // dim)
+    high = [np.abs(m).max(1, initial=0) for m in (queries, tile)]
+    if max(h.max(initial=0) for h in high) <= small:
+        return (queries @ tile.T).astype(np.int64)
+    out = np.empty((len(queries), len(tile)), np.int64)
+    ranks = [(h > small).astype(int) + (h > middle) for h in high]
+    for a in range(3):
+        for b in range(3):
+            q, t = np.flatnonzero(ranks[0] == a), np.flatnonzero(ranks[1] == b)
+            if not len(q) or not len(t):
+                continue
+            if max(a, b) == 0:
+                found = (queries[q] @ tile[t].T).astype(np.int64)
+            elif max(a, b) == 1:
+                found = queries[q].astype(np.int64) @ tile[t].astype(np.int64).T
+            else:
+                whole = [np.array([[int(x) for x in row] for row in m], object).reshape(len(m), -1) for m in (queries[q], tile[t])]
+                found = np.array([[min(max(int((x * y).sum()), _LEAST), _MOST) for y in whole[1]] for x in whole[0]], np.int64)
+            out[np.ix_(q, t)] = found
+    return out
+
+
+class TopLists:
+    """The best ``k`` candidates so far of every query of one dimension."""
+
+    def __init__(self, own: np.ndarray, queries: np.ndarray, k: int):
+        self.own, self.queries, self.k = own, queries, k
+        self.ids, self.scores = (np.zeros((len(own), k), np.int64) for _ in range(2))
+        self.held = np.zeros(len(own), np.int64)
+
+    def add(self, ids: np.ndarray, tile: np.ndarray) -> None:
+        """Fold in a tile.  A candidate with the query's own id takes no part; ties go to smaller ids."""
+        for start in range(0, len(self.own), QUERIES):
+            part = slice(start, start + QUERIES)
+            found = scores(self.queries[part], tile)
+            take = ids[None, :] != self.own[part, None]
+            full = self.held[part] == self.k
+            if full.any():
+                least, last = self.scores[part, -1][full, None], self.ids[part, -1][full, None]
+                take[full] &= (found[full] > least) | ((found[full] == least) & (ids[None, :] < last))
+            if not full.all() and len(ids) > self.k:
+                at, open_ = len(ids) - self.k, np.where(take[~full], found[~full], _LEAST)
+                take[~full] &= open_ >= np.partition(open_, at, axis=1)[:, at, None]
+            q, c = np.nonzero(take)
+            if len(q):
+                self._merge(start, q, ids[c], found[q, c])
+
+    def _merge(self, start: int, q: np.ndarray, ids: np.ndarray, found: np.ndarray) -> None:
+        rows = np.unique(q) + start
+        old = np.repeat(rows, self.held[rows])
+        place = np.arange(len(old)) - np.repeat(np.cumsum(self.held[rows]) - self.held[rows], self.held[rows])
+        query = np.concatenate([old, q + start])
+        ids, found = np.concatenate([self.ids[old, place], ids]), np.concatenate([self.scores[old, place], found])
+        order = np.lexsort((ids, ~found, query))
+        query, ids, found = query[order], ids[order], found[order]
+        first = np.searchsorted(query, query)
+        place = np.arange(len(query)) - first
+        kept = place < self.k
+        self.ids[query[kept], place[kept]], self.scores[query[kept], place[kept]] = ids[kept], found[kept]
+        self.held[rows] = np.minimum(self.k, np.bincount(query, minlength=rows[-1] + 1)[rows])
+
+
+def search_block(vectors: DataFrame, block: list[tuple[np.ndarray, np.ndarray]], k: int, scale: float) -> DataFrame:
+    """Per task and query, the best ``k`` of the task's rows: ``query, query_id, node, top``.
+
+    ``query`` numbers the queries of the block; the cost in ``top`` is the complement of the score.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast(block)
+    schema = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("node", pa.int64()), ("top", pa.list_(pa.struct([("cost", pa.int64()), ("vec_id", pa.int64())])))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops = {queries.shape[1]: TopLists(own, queries, k) for own, queries in shared.value}
+        waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {dim: [] for dim in tops}
 
-def _search_block(vectors: DataFrame, block: list[tuple[int, int, list[int]]], k: int) -> DataFrame:
-    """Per task and query, the best ``k`` of the task's rows."""
-    shared = vectors.sparkSession.sparkContext.broadcast(_partial(block, k))
+        def fold(dim: int) -> None:
+            if waiting[dim]:
+                tops[dim].add(np.concatenate([i for i, _ in waiting[dim]]), np.concatenate([v for _, v in waiting[dim]]))
+                waiting[dim].clear()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def fold(dim: int, ids: list[int], rows: list[list[int]]) -> None:
-            if dim not in shared.value or not ids:
-                return
-            keys, own, queries = shared.value[dim]
-            tile_ids, tile = np.array(ids, np.int64), np.array(rows, np.int64).reshape(len(ids), dim)
-            for start in range(0, len(keys), 1024):
-                part = slice(start, start + 1024)
-                for q, got, score in best(_scores(queries[part], tile), tile_ids, own[part], k):
-                    key = int(keys[start + q])
-                    if key in tops:
-                        got, score = np.concatenate([tops[key][0], got]), np.concatenate([tops[key][1], score])
-                        order = np.lexsort((got, -score))[:k]
-                        got, score = got[order], score[order]
-                    tops[key] = got, score
-
-        waiting: dict[int, tuple[list, list]] = {}
         for batch in batches:
-            for vec_id, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, rows = waiting.setdefault(len(v), ([], []))
-                ids.append(vec_id)
-                rows.append(v)
-                if len(ids) >= TILE:
-                    fold(len(v), *waiting.pop(len(v)))
-        for dim, (ids, rows) in waiting.items():
-            fold(dim, ids, rows)
-        task = TaskContext.get().partitionId()
-        keys = list(tops)
-        for start in range(0, len(keys), 1024):
-            part = keys[start : start + 1024]
-            lists = [[{"cost": -s, "vec_id": i} for i, s in zip(*(x.tolist() for x in tops[q]), strict=True)] for q in part]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int64()), pa.array([task] * len(part), pa.int64()), pa.array(lists, pa.list_(pa.struct([("cost", pa.int64()), ("vec_id", pa.int64())])))],
-                names=["query", "node", "top"],
-            )
-
-    return vectors.mapInArrow(run, "query long, node long, top array<struct<cost: bigint, vec_id: bigint>>")
+            for ids, values in matrices(batch.column(0), batch.column(1), scale):
+                dim = values.shape[1]
+                if dim in tops:
+                    waiting[dim].append((ids, values))
+                    if sum(len(i) for i, _ in waiting[dim]) >= TILE:
+                        fold(dim)
+        number = 0
+        for dim, lists in tops.items():
+            fold(dim)
+            for start in range(0, len(lists.own), QUERIES):
+                held = lists.held[start : start + QUERIES]
+                inside = np.arange(k)[None, :] < held[:, None]
+                entries = pa.StructArray.from_arrays([pa.array(~lists.scores[start : start + QUERIES][inside]), pa.array(lists.ids[start : start + QUERIES][inside])], names=["cost", "vec_id"])
+                top = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(held)]).astype(np.int32), entries)
+                rows = pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(len(held)) + number + start), pa.array(lists.own[start : start + QUERIES]), pa.array(np.full(len(held), TaskContext.get().partitionId())), top], schema=schema
+                )
+                yield rows.filter(pa.array(held > 0))
+            number += len(lists.own)
+
+    return vectors.mapInArrow(run, "query long, query_id long, node long, top array<struct<cost: bigint, vec_id: bigint>>")
+
+
+def merged(lists: DataFrame, tasks: int, k: int) -> DataFrame:
+    """The lists of all tasks as one for each query, ``FAN_IN`` at a time."""
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top")
+    while True:
+        tasks = -(-tasks // FAN_IN)
+        lists = lists.groupBy("query", "query_id", F.floor(F.col("node") / FAN_IN).alias("node")).agg(best)
+        if tasks <= 1:
+            return lists
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -120,28 +166,36 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
 
     Queries are the rows whose id is divisible by ``every``; candidates are all rows of the same
     dimension but those with the query's own id.  Rows with a null id or vector, or with a null or
-    non-finite component, take no part.  Repeated candidates each count; where several rows share
-    a query's id, each distinct vector is searched and the rows come out together.
+    non-finite component (scaled or not), take no part.  Repeated candidates each count; where
+    several rows share a query's id, each distinct vector is searched and the rows come out
+    together.  Scores are exact; one that no long can hold counts as the nearest long.  Other
+    columns are not read.
     """
+    if k < 1 or every < 1:
+        raise ValueError("k and every must be positive")
     spark = vectors.sparkSession
     prepare(spark)
-    whole = materialize(quantized(vectors, id_col, vector_col, scale), "topk-vectors")
-    queries = whole.where(F.col("vec_id") % every == 0).distinct()
-    # Blocks by hash, as many as keep each near BLOCK rows; only one is on the driver at a time.
-    blocks = max(1, -(-queries.count() // (BLOCK // 2)))
-    parts, names = [], T.StructType([T.StructField("query", T.LongType()), T.StructField("query_id", T.LongType())])
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
+    queries = rows.where(F.col("vec_id") % every == 0).distinct()
+    held = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dim")).first()
+    # Blocks by hash, as many as keep each near half of BLOCK_BYTES; only one is on the driver at a time.
+    blocks = max(1, -(-held["n"] * max(1, held["dim"]) * 8 // (BLOCK_BYTES // 2)))
+    parts = []
     for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        block = [(i, r.vec_id, r.v) for i, r in enumerate(sorted(rows, key=lambda r: (r.vec_id, r.v)))]
-        lists = _search_block(whole, block, k)
-        tasks = whole.rdd.getNumPartitions()
-        while True:
-            tasks = -(-tasks // FAN_IN)
-            merged = F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top")
-            lists = lists.groupBy("query", F.floor(F.col("node") / FAN_IN).alias("node")).agg(merged)
-            if tasks <= 1:
-                break
-        ids = spark.createDataFrame(pd.DataFrame({"query": [x[0] for x in block], "query_id": [x[1] for x in block]}, dtype="int64"), names)
-        parts.append(lists.join(ids, "query").select("query_id", F.posexplode("top").alias("pos", "hit")))
+        block = _block(queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b), float(scale))
+        found = merged(search_block(rows, block, k, float(scale)), rows.rdd.getNumPartitions(), k).select("query_id", F.posexplode("top").alias("pos", "hit"))
+        # A pass of its own each, so that neither the plan nor what is broadcast at a time grows with the queries.
+        parts.append(materialize(found, "topk-pass") if blocks > 1 else found)
     found = reduce(DataFrame.unionAll, parts)
-    return found.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.cost")).alias("score"))
+    return found.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.bitwise_not(F.col("hit.cost")).alias("score"))
+
+
+def _block(queries: DataFrame, scale: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Queries of one block by dimension, in an order that doesn't depend on how they arrive."""
+    found = queries.toArrow().combine_chunks()
+    out = []
+    if found.num_rows:
+        for ids, values in matrices(found.column(0).chunk(0), found.column(1).chunk(0), scale):
+            order = np.lexsort((*values.T[::-1], ids))
+            out.append((ids[order], values[order]))
+    return out
