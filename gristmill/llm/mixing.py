@@ -1,8 +1,8 @@
 """Mixing sources to target weights along a curriculum.
 
-Each source has a weight schedule over training time 0 to 1.  Its integral is the source's share
-of all words; inverting the cumulative demand assigns to every document the times at which the
-mix reaches it, and a range sort by time is the training order.
+Each source has a weight schedule over training time 0 to 1: a line from one weight to another.
+Its integral is the source's share of all words; inverting the cumulative demand assigns to every
+document the times at which the mix reaches it, and a range sort by time is the training order.
 
 Only DataFrame functions: sums over many documents are aggregated per slice of a source before
 any window sees them, so no task holds a whole source.
@@ -13,25 +13,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import WORD, materialize
+from gristmill.llm.common import WORD, materialize, unused
 
 #: Hexadecimal digits of the order's hash that name a slice of a source; running sums are taken
 #: over the 4,096 slices first, then inside each.
 SLICE_DIGITS = 3
+#: Weights at the start and the end of training, repeating over the sources; the integrals are 1, 2 and 3.
+SCHEDULES = ((1.5, 0.5), (1.0, 3.0), (4.5, 1.5))
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
-    """``source, source_size, weight, target`` from one row per source: ``source, source_size``.
+def source_targets(sizes: DataFrame, schedules: tuple[tuple[float, float], ...], cap: int) -> DataFrame:
+    """``source, source_size, target, tilt`` from one row per source: ``source, source_size``.
 
-    Weights repeat in code-point order, null last.  Targets share the sum of all sizes by weight;
-    none exceeds ``cap`` times its source, the excess going to the others by weight: with sources
-    in the order in which a rising water line reaches their caps, the line stands where the first
-    source is not yet full.  One row per source is all that meets in one task.
+    Schedules repeat in code-point order, null last; a source's weight is the integral of its
+    schedule, its tilt how far the schedule rises (or falls) from the middle, by its weight.
+    Targets share the sum of all sizes by weight; none exceeds ``cap`` times its source, the excess
+    going to the others by weight: with sources in the order in which a rising water line reaches
+    their caps, the line stands where the first source is not yet full.  One row per source is all
+    that meets in one task.
     """
+    if any(min(s) < 0 or sum(s) <= 0 for s in schedules):
+        raise ValueError("weights can't be negative, nor a schedule's integral zero")
     everyone = Window.partitionBy(F.lit(1))
     by_name = everyone.orderBy(F.col("source").isNull(), "source")
     ranked = sizes.withColumn("n", F.row_number().over(by_name) - 1)
-    ranked = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("n") % len(weights) + 1).cast("int")).cast("long"))
+    own = (F.col("n") % len(schedules) + 1).cast("int")
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*(F.lit((a + b) / 2) for a, b in schedules)), own))
+    ranked = ranked.withColumn("tilt", F.element_at(F.array(*(F.lit((b - a) / (a + b)) for a, b in schedules)), own))
     full = F.col("source_size") * cap
     order = everyone.orderBy(full / F.col("weight"), "n")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -41,22 +49,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> Data
     ranked = ranked.withColumn("line", line).withColumn("fits", F.col("line") * F.col("weight") <= full)
     ranked = ranked.withColumn("water", F.min(F.when(F.col("fits"), F.struct(full / F.col("weight"), "n", "line"))).over(everyone))
     target = F.when(F.col("water").isNull() | (F.col("water.line") * F.col("weight") > full), full.cast("double")).otherwise(F.col("water.line") * F.col("weight"))
-    return ranked.select("source", "source_size", "weight", target.alias("target"), (F.col("n") % 2).alias("phase"))
+    return ranked.select("source", "source_size", target.alias("target"), "tilt")
 
 
 def inverse_demand(amount: Column, target: Column, tilt: Column) -> Column:
     """The time at which a source's cumulative demand reaches ``amount``.
 
     The rate at time t is ``target * (1 + tilt * (2 t - 1))``, so the demand until t is
-    ``target * (t + tilt * (t * t - t))``, a quadratic with one root in 0 to 1 for |tilt| < 1.
+    ``target * (t + tilt * (t * t - t))``, a quadratic with one root in 0 to 1 for |tilt| <= 1.
     """
     share = F.try_divide(amount, target)
     b = F.lit(1.0) - tilt
     # The stable form of the root, also right for a tilt of 0.
-    return F.lit(2.0) * share / (b + F.sqrt(F.greatest(b * b + F.lit(4.0) * tilt * share, F.lit(0.0))))
+    return F.coalesce(F.try_divide(F.lit(2.0) * share, b + F.sqrt(F.greatest(b * b + F.lit(4.0) * tilt * share, F.lit(0.0)))), F.lit(0.0))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, tilt: float = 0.5) -> DataFrame:
+def mix(docs: DataFrame, schedules: tuple[tuple[float, float], ...] = SCHEDULES, cap: int = 3) -> DataFrame:
     """The mix's plan, one row per document in training order.
 
     Columns: ``doc_id, size`` (words), ``source_size, target, taken`` (words that the mix takes,
@@ -65,25 +73,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, til
 
     Within a source, documents stand in an order by hash; the mix passes through it until the
     target is met, so each document is taken as often as whole passes go and the last pass ends
-    inside one document.  Sources of even rank grow over training, those of odd rank shrink, by
-    at most ``tilt``; at every time the rates of all sources add up to the same.  Null texts have
-    size 0; null sources are a source of their own; a source without words has target 0; repeated
-    rows are documents of their own.  Other columns are not read.
+    inside one document.  A schedule's integral decides how many words a source gives, its course
+    when they come.  Null texts have size 0; null sources are a source of their own; a source
+    without words has target 0; repeated rows are documents of their own.  Other columns are not
+    read.
     """
-    return _planned(docs, weights, cap, tilt).orderBy(F.asc_nulls_last("position"), "doc_id")
+    return _planned(docs, schedules, cap).orderBy(F.asc_nulls_last("position"), "doc_id")
 
 
-def _planned(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, tilt: float = 0.5, keys: tuple[str, ...] = ()) -> DataFrame:
+def _planned(docs: DataFrame, schedules: tuple[tuple[float, float], ...] = SCHEDULES, cap: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
     """The plan without its order; ``keys`` are columns that come along and settle ties."""
     sized = docs.select(*keys, "doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("mixed"))
     # From here on only ids, sources and sizes travel.
     sized = materialize(sized.withColumn("slice", F.substring("mixed", 1, SLICE_DIGITS)), "mix-sizes")
     slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("words"))
-    sources = source_targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
-    # A tilt that sums to nothing over all words keeps the total rate level.
-    everyone = Window.partitionBy(F.lit(1))
-    mean = F.try_divide(F.sum(F.col("target") * F.col("phase")).over(everyone), F.sum("target").over(everyone))
-    sources = sources.withColumn("tilt", F.coalesce(F.lit(2 * tilt) * (F.col("phase") - mean), F.lit(0.0)) / 2)
+    sources = source_targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), schedules, cap)
     by_slice = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = slices.withColumn("offset", F.coalesce(F.sum("words").over(by_slice), F.lit(0)))
     # At most 4,096 rows for each source: small beside the documents, whichever join is chosen.
@@ -107,9 +111,9 @@ def apply_mix(docs: DataFrame, **settings) -> DataFrame:
     A last take of under half a document is left out, one of at least half becomes whole.  Each row
     has its own plan, whatever its ``doc_id``.
     """
-    keys = ("mix_content", "mix_row")
-    rows = materialize(docs.withColumn("mix_content", F.xxhash64(*docs.columns)).withColumn("mix_row", F.monotonically_increasing_id()), "mix-rows")
-    plan = _planned(rows, **settings, keys=keys)
+    keys = unused(docs, "mix_content", "mix_row", "mix_position")
+    rows = materialize(docs.withColumn(keys[0], F.xxhash64(*docs.columns)).withColumn(keys[1], F.monotonically_increasing_id()), "mix-rows")
+    plan = _planned(rows, **settings, keys=tuple(keys[:2]))
     copies = F.coalesce(F.round(F.try_divide("taken", "size")), F.lit(0)).cast("int")
-    plan = plan.select("mix_row", F.explode(F.slice("positions", F.lit(1), copies)).alias("plan_position"))
-    return rows.join(plan, "mix_row").orderBy("plan_position", "doc_id").select(*docs.columns)
+    plan = plan.select(keys[1], F.explode(F.slice("positions", F.lit(1), copies)).alias(keys[2]))
+    return rows.join(plan, keys[1]).orderBy(keys[2], "doc_id", keys[0]).select(*docs.columns)

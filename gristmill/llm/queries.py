@@ -43,7 +43,7 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(common.table(spark, sf_dir, "documents")).drop("position", "positions")
+    return mixing.mix(common.table(spark, sf_dir, "documents")).drop("positions")
 
 
 def op10_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,15 +101,19 @@ ORACLE_SQL: dict[str, str] = {
             FROM weighed WINDOW o AS (ORDER BY filled / weight, n)),
         water AS (SELECT line AS level FROM lines WHERE line * weight <= filled ORDER BY filled / weight, n LIMIT 1),
         targets AS (
-            SELECT source, source_size,
+            SELECT source, source_size, CASE WHEN n % 3 = 1 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END AS tilt,
                    CASE WHEN level IS NULL OR level * weight > filled THEN CAST(filled AS DOUBLE) ELSE level * weight END AS target
             FROM lines LEFT JOIN water ON TRUE),
         placed AS (
-            SELECT doc_id, size, source_size, target, CAST(round(target) AS BIGINT) AS words,
+            SELECT doc_id, size, source_size, target, tilt, CAST(round(target) AS BIGINT) AS words,
                    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY mixed, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target,
-               CAST(coalesce(words // nullif(source_size, 0), 0) * size
-                    + least(size, greatest(0, words - coalesce(words // nullif(source_size, 0), 0) * source_size - before)) AS BIGINT) AS taken
-        FROM placed""",
+            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+        takes AS (
+            SELECT doc_id, size, source_size, target, 1.0::DOUBLE - tilt AS b, tilt, CAST(before AS DOUBLE) / nullif(target, 0) AS share,
+                   CAST(coalesce(words // nullif(source_size, 0), 0) * size
+                        + least(size, greatest(0, words - coalesce(words // nullif(source_size, 0), 0) * source_size - before)) AS BIGINT) AS taken
+            FROM placed)
+        SELECT doc_id, size, source_size, target, taken,
+               CASE WHEN taken > 0 THEN least(1.0::DOUBLE, 2.0::DOUBLE * share / (b + sqrt(greatest(b * b + 4.0::DOUBLE * tilt * share, 0.0::DOUBLE)))) END AS position
+        FROM takes""",
 }

@@ -66,6 +66,20 @@ def test_inverse_demand(spark):
             assert got == pytest.approx(t, abs=1e-9)
 
 
+def test_schedules_decide_shares_and_times(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "ab"[i % 2], "x") for i in range(400)], SCHEMA)
+    shares = {}
+    for name, schedules in {"even": ((1.0, 1.0),), "rising": ((0.0, 3.0), (0.5, 0.5))}.items():
+        rows = mixing.mix(docs, schedules=schedules).collect()
+        taken = {s: sum(r.taken for r in rows if "ab"[r.doc_id % 2] == s) for s in "ab"}
+        early = {s: sum(10 * sum(t < 0.5 for t in r.positions) for r in rows if "ab"[r.doc_id % 2] == s) for s in "ab"}
+        shares[name] = taken["a"] / sum(taken.values()), early["a"] / max(1, taken["a"])
+    assert shares["even"] == pytest.approx((0.5, 0.5), abs=0.03)
+    assert shares["rising"] == pytest.approx((0.75, 0.25), abs=0.01)
+    with pytest.raises(ValueError, match="integral"):
+        mixing.mix(docs, schedules=((0.0, 0.0),))
+
+
 def test_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mixing.mix(spark.createDataFrame([(1, None, None, "")], SCHEMA)).first().taken == 0
