@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import materialize, prepare, texts
+from gristmill.llm.common import materialize, prepare, texts, unused
 
 #: Bands of rows: at similarity 0.8 all bands miss a pair with probability (1 - 0.8**5)**30, 7e-6.
 BANDS, ROWS = 30, 5
@@ -146,6 +146,11 @@ def compare_tile(ids: list[int], side: np.ndarray, signatures: np.ndarray, sets:
                 yield ids[x], ids[y]
 
 
+def _halves(digest: int) -> tuple[int, int]:
+    """A 128-bit digest as two longs."""
+    return (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63
+
+
 def shingled(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id, n_shingles, set_a, set_b, signature``; equal sets have equal ``set_a, set_b``."""
 
@@ -157,10 +162,10 @@ def shingled(docs: DataFrame, width: int) -> DataFrame:
             n, a, b, signatures = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingler(text)
-                both = xxhash.xxh3_128_intdigest(found.tobytes())
+                both = _halves(xxhash.xxh3_128_intdigest(found.tobytes()))
                 n.append(len(found))
-                a.append((both >> 64) - 2**63)
-                b.append((both & (2**64 - 1)) - 2**63)
+                a.append(both[0])
+                b.append(both[1])
                 signatures.append(signature(found).tobytes() if n[-1] else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(signatures, pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "signature"])
 
@@ -169,35 +174,35 @@ def shingled(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """``key, band, cls`` for every class and band."""
+    """``key, band, set_a, set_b`` for every class and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2"))
-                own = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys))), pa.array(own)], names=["key", "band", "cls"])
+                keys = band_keys(np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2"))
+                own = [np.repeat(batch.column(i).to_numpy(zero_copy_only=False), BANDS) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys))), *map(pa.array, own)], names=["key", "band", "set_a", "set_b"])
 
-    return classes.select("cls", "signature").mapInArrow(run, "key long, band int, cls long")
+    return classes.select("set_a", "set_b", "signature").mapInArrow(run, "key long, band int, set_a long, set_b long")
 
 
 def _tiles(classes: DataFrame) -> DataFrame:
-    """``key, band, i, j, side, cls``: which classes meet in which comparison of tiles."""
+    """``key, band, i, j, own, set_a, set_b``: which classes meet in which comparison of tiles."""
     bands = _bands(classes)
-    member = F.xxhash64("cls")
+    member = F.xxhash64("set_a", "set_b")
     buckets = bands.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(member.bitwiseAND(F.lit(0xFFFFFFFF))).alias("total"), F.bit_xor(member).alias("parity"))
     # Buckets of the same members are one, in the earliest of their bands.
     kept = buckets.where("n > 1").groupBy("n", "total", "parity").agg(F.min(F.struct("band", "key")).alias("first"))
     kept = kept.select(F.col("first.key").alias("key"), F.ceil(F.col("n") / TILE).cast("long").alias("tiles"))
     rows = bands.join(kept, "key").withColumn("own", F.pmod(member, F.col("tiles")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    return rows.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls")
+    return rows.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_a", "set_b")
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """``u, v``: ids of representatives of classes confirmed to be similar; a spanning forest."""
     tiles = materialize(_tiles(classes), "minhash-tiles")
-    needed = tiles.select("cls").distinct().join(classes, "cls").select("cls", "doc_id", "signature")
+    needed = tiles.select("set_a", "set_b").distinct().join(classes, ["set_a", "set_b"]).select("set_a", "set_b", "doc_id", "signature")
     rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long")).join(needed, "doc_id")
 
     def make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,14 +211,14 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
         shingler = Shingler(width)
         for batch in batches:
             out = []
-            for cls, doc_id, sig, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for a, b, doc_id, sig, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = shingler(text).tobytes()
-                if (xxhash.xxh3_128_intdigest(found) >> 64) - 2**63 == cls:  # not another text of the same id
-                    out.append({"cls": cls, "doc_id": doc_id, "signature": sig, "shingles": found})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("cls", pa.int64()), ("doc_id", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary())]))
+                if _halves(xxhash.xxh3_128_intdigest(found)) == (a, b):  # not another text of the same id
+                    out.append({"set_a": a, "set_b": b, "doc_id": doc_id, "signature": sig, "shingles": found})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("set_a", pa.int64()), ("set_b", pa.int64()), ("doc_id", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary())]))
 
-    sets = rows.select("cls", "doc_id", "signature", "text").mapInArrow(make_sets, "cls long, doc_id long, signature binary, shingles binary")
-    sets = sets.dropDuplicates(["cls"])
+    sets = rows.select("set_a", "set_b", "doc_id", "signature", "text").mapInArrow(make_sets, "set_a long, set_b long, doc_id long, signature binary, shingles binary")
+    sets = sets.dropDuplicates(["set_a", "set_b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -234,7 +239,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
         if group:
             yield compared()
 
-    met = tiles.join(sets, "cls").select("key", "band", "i", "j", "own", "doc_id", "signature", "shingles")
+    met = tiles.join(sets, ["set_a", "set_b"]).select("key", "band", "i", "j", "own", "doc_id", "signature", "shingles")
     met = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
     return met.mapInArrow(run, "u long, v long")
 
@@ -277,8 +282,8 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     rows = materialize(shingled(docs, width), "minhash-rows")
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "signature")).alias("first"))
-    classes = materialize(classes.select(F.col("set_a").alias("cls"), "set_b", "first.doc_id", "first.signature"), "minhash-classes")
-    members = rows.join(classes.select(F.col("cls").alias("set_a"), "set_b", F.col("doc_id").alias("first_id"), F.lit(True).alias("found")), ["set_a", "set_b"], "left")
+    classes = materialize(classes.select("set_a", "set_b", "first.doc_id", "first.signature"), "minhash-classes")
+    members = rows.join(classes.select("set_a", "set_b", F.col("doc_id").alias("first_id"), F.lit(True).alias("found")), ["set_a", "set_b"], "left")
     first = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("first_id")).otherwise(F.col("doc_id"))
     members = materialize(members.select("doc_id", "n_shingles", first.alias("first_id")), "minhash-members")
     # An id that stands for several texts connects their classes.
@@ -298,5 +303,6 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """
     kept = groups(docs, width, percent).where("kept").select("doc_id").distinct()
     one = Window.partitionBy("doc_id").orderBy(F.md5(F.coalesce("text", F.lit(""))))
-    known = docs.join(kept, "doc_id", "left_semi").withColumn("_place", F.row_number().over(one)).where("_place = 1")
+    (place,) = unused(docs, "place")
+    known = docs.join(kept, "doc_id", "left_semi").withColumn(place, F.row_number().over(one)).where(F.col(place) == 1)
     return known.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -15,13 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import prepare, texts
+from gristmill.llm.common import materialize, prepare, texts
 
-#: Buckets of the n-gram table, and the most labelled rows that a model is fitted on.
-BUCKETS, SAMPLE_ROWS = 1 << 18, 6_000
+#: Buckets of the n-gram table, the most labelled rows that a model is fitted on, and the most
+#: distinct n-grams that these may have together (256 MB on the driver).
+BUCKETS, SAMPLE_ROWS, SAMPLE_GRAMS = 1 << 18, 6_000, 64 << 20
 #: Passes of coordinate descent, cost of a margin error, smoothing of counts, share of the fitted
 #: weights (the rest is their mean size, as in naive Bayes), folds for calibration.
 PASSES, COST, SMOOTHING, SHARE, FOLDS = 12, 1.0, 1.0, 0.9, 3
@@ -92,27 +93,34 @@ def _ratio(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return np.log(counts[1] / counts[0]).astype(np.float32)
 
 
-def _descend(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights over scaled indicators by dual coordinate descent on the hinge loss.
+def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, most: np.ndarray, passes: int = PASSES) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and dual variables of the hinge loss, by dual coordinate descent.
 
-    Each class bears half of the cost.  The order of visits is shuffled from a fixed seed.
+    Row i has ``values[i]`` in the buckets ``rows[i]`` and a constant feature of 1 for the bias;
+    its dual variable lies between 0 and ``most[i]``.  The order of visits is shuffled from a fixed
+    seed.
     """
-    ratio = _ratio(rows, labels)
-    y = np.where(labels == 1, 1.0, -1.0)
-    share = np.where(labels == 1, (labels == 0).mean() or 1.0, (labels == 1).mean() or 1.0) * 2
-    values = [ratio[r] / (np.linalg.norm(ratio[r]) or 1.0) for r in rows]
     w, bias, alpha, rnd = np.zeros(BUCKETS, np.float32), 0.0, np.zeros(len(rows)), np.random.default_rng(0)
-    for _ in range(PASSES):
+    for _ in range(passes):
         for i in rnd.permutation(len(rows)):
             row, x = rows[i], values[i]
             gradient = y[i] * (float(w[row] @ x) + bias) - 1
-            # Texts have unit length and the bias is a constant feature of 1.
-            new = min(max(alpha[i] - gradient / (1.0 + float(x @ x)), 0.0), COST * share[i])
+            new = min(max(alpha[i] - gradient / (1.0 + float(x @ x)), 0.0), most[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
                 w[row] += step * x
                 bias += step
                 alpha[i] = new
+    return w, bias, alpha
+
+
+def _descend(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights over scaled indicators of unit length; each class bears half of the cost."""
+    ratio = _ratio(rows, labels)
+    y = np.where(labels == 1, 1.0, -1.0)
+    share = np.where(labels == 1, (labels == 0).mean() or 1.0, (labels == 1).mean() or 1.0) * 2
+    values = [ratio[r] / (np.linalg.norm(ratio[r]) or 1.0) for r in rows]
+    w, bias, _ = dual_descent(rows, values, y, COST * share)
     used = w != 0
     mean = float(np.abs(w[used]).mean()) if used.any() else 0.0
     return (SHARE * w + (1 - SHARE) * mean * np.sign(w)) * ratio, ratio**2, bias
@@ -158,8 +166,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, label: str, take: Column | None = None, sample: int = SAMPLE_ROWS) -> Model:
     """Fit on at most ``sample`` labelled rows, chosen by a hash of their ids.
 
-    ``labels`` has ``doc_id`` and 0 or 1 in ``label``; rows where ``take`` isn't true are left
-    out.  The bound is on labelled rows alone: features of that many texts come to the driver.
+    ``labels`` has ``doc_id`` and 0 or 1 in ``label``; rows where ``take`` isn't true, and null
+    ids, are left out.  The bound is on labelled rows alone: features of that many texts come to the
+    driver, of one text for each id, and fewer texts where they are so long that their n-grams
+    exceed ``SAMPLE_GRAMS``.
     """
     prepare(docs.sparkSession)
     chosen = labels.where(F.col(label).isin(0, 1) & (take if take is not None else F.lit(True)))
@@ -171,7 +181,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str, take: Column | None =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], names=["doc_id", "label", "buckets"])
 
     joined = texts(docs).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("string"), "label", "text")
-    found = joined.mapInArrow(run, "doc_id string, label int, buckets binary").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("buckets", "ascending")])
+    each = joined.mapInArrow(run, "doc_id string, label int, buckets binary")
+    # Copies of an id fall away before anything moves; at most ``sample`` rows remain.
+    one = materialize(each.groupBy("doc_id").agg(F.min(F.struct("label", "buckets")).alias("one")).select("doc_id", "one.*"), "nbsvm-features")
+    before = Window.partitionBy(F.lit(1)).orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    fit_in = one.select("doc_id", F.length("buckets").alias("size")).withColumn("held", F.sum("size").over(before)).where(F.col("held") <= 4 * SAMPLE_GRAMS)
+    found = one.join(fit_in.select("doc_id"), "doc_id", "left_semi").toArrow().sort_by("doc_id")
     return fit([np.frombuffer(b, np.int32) for b in found["buckets"].to_pylist()], np.array(found["label"].to_pylist(), int))
 
 

@@ -77,3 +77,27 @@ def test_posterior_bounds_and_signatures():
 
 def test_empty_table(spark):
     assert minhash.groups(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_links_just_over_the_threshold_are_found(spark):
+    rnd, rows = random.Random(11), []
+    for pair in range(400):
+        words = [f"w{pair}x{rnd.randrange(10**6)}" for _ in range(rnd.randint(60, 90))]
+        other = list(words)
+        n = len(words) - 3  # shingles of four words; a changed end changes as many as it is long
+        most = next(c for c in range(n, -1, -1) if 100 * (n - c) >= 80 * (n + c))
+        for i in range(1, most + 1):
+            other[-i] = f"v{pair}x{i}"
+        rows += [(2 * pair, " ".join(words), "z"), (2 * pair + 1, " ".join(other), "z")]
+    got = {r.doc_id: r.component_id for r in minhash.groups(spark.createDataFrame(rows, SCHEMA), width=4, percent=80).collect()}
+    found = sum(got[2 * p + 1] == 2 * p for p in range(400))
+    assert found >= 399 and len(set(got.values())) == 800 - found
+
+
+def test_classes_are_told_apart_by_both_halves(spark, monkeypatch):
+    # Digests that agree in their first half: still two classes.
+    halves = minhash._halves
+    monkeypatch.setattr(minhash, "_halves", lambda digest: (5, halves(digest)[1]))
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(20)), "z") for i in range(6)] + [(6, " ".join(f"w0x{j}" for j in range(20)), "z")]
+    got = {r.doc_id: r.component_id for r in minhash.groups(spark.createDataFrame(rows, SCHEMA), width=4).collect()}
+    assert got == {i: i for i in range(6)} | {6: 0}
