@@ -33,16 +33,19 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out and repeat documents so that sources meet their weights.
-
-    The rows' training order is lost where the next stage reads them from several files.
-    """
+    """Leave out and repeat documents so that sources meet their weights, in training order."""
     return mixing.apply_mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with digests of the ids and of what they decode to."""
-    return bpe_duckdb.encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+    """Token ids of every text, with digests of the ids and of what they decode to.
+
+    ``part`` and ``row`` say where a document stands in the mixture's files: sorted by the two, rows
+    are in training order.
+    """
+    part, row = common.unused(docs, "part", "row")
+    placed = common.with_place(docs, part, row)
+    return bpe_duckdb.encode_and_decode(placed, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, keep=(part, row))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixture", mixture), ("tokens", tokens)]
