@@ -14,13 +14,14 @@ from gristmill.sources.cluster import clean, materialize, scratch_root, ship  #
 #: Words of a text, here and in SQL: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows in one Arrow batch; texts can be long, so batches are short.
-BATCH_ROWS = 500
+#: Rows and bytes in one Arrow batch; texts can be long, so batches are short.
+BATCH_ROWS, BATCH_BYTES = 500, 64 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches of this session by rows, and let executors import this package."""
+    """Bound Arrow batches of this session by rows and bytes, and let executors import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     ship(spark)
 
 

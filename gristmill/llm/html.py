@@ -26,7 +26,7 @@ WINDOW, SURGE = 3, 86
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-_RAW = frozenset("script style noscript template textarea iframe svg math object select button title noembed noframes xmp".split())
+_RAW = frozenset("script style noscript template textarea iframe svg select button title noembed noframes xmp".split())
 _ASIDE = frozenset("nav aside footer form menu dialog head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class names, ids and roles of what surrounds an article: of what is never one itself,

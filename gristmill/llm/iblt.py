@@ -5,17 +5,15 @@ into one cell of each of three parts of a sketch; a cell holds a count and the x
 Sketches of equal size subtract cell by cell, which cancels what two texts share, and peeling
 recovers the rest: a cell of count 1 or -1 whose xor passes its checksum is a digest, which is
 then taken out of its other cells.  When peeling stops short, larger sketches are tried: digests
-split by hash into groups, each with its own sketch, and ever larger ones for groups that fail
-again.
-
-Sketches are kept as their cells that aren't empty, in order; cells of one place meet in one fold
-over sorted cells, whatever the sketch's size.
+split by hash into groups of few, each with its own sketch, which together have three cells or more
+for each digest, and larger ones for groups that fail again.
 
 Only DataFrame functions; every row is worked on alone, so memory is bounded by one text.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,9 +22,9 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import materialize
 
 #: Cells in each of the three parts: of the fingerprint, then of a group's sketches.
-WIDTH, RETRIES = 16, (32, 256, 65_536)
+WIDTH, RETRIES = 16, (8, 32)
 #: Digests of both texts in a group, at most on average; rounds of peeling.
-GROUP, ROUNDS = 32, 16
+GROUP, ROUNDS = 8, 12
 #: Where paragraphs end.
 ENDS = r"\n+|(?<=[.!?])\s+"
 #: Rows in one range of ids, and the quantiles, of all ids and of those between two, that ranges are laid between.
@@ -52,53 +50,47 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _place(digest: Column, part: int, width: int) -> Column:
-    """The cell of a digest in one part: its own 16 bits of the digest by the width, after the parts before."""
-    return F.shiftright(digest, part * 16).bitwiseAND(F.lit(width - 1)).cast("int") + part * width
-
-
-def _cell(at: Column, n: Column, x: Column) -> Column:
-    return F.struct(at.alias("at"), n.alias("n"), x.alias("x"))
-
+def _place(digest: Column, part: Column, width: int) -> Column:
+    """The cell of a digest in one part: its own 16 bits of the digest by the width."""
+    return F.call_function("shiftright", digest, part * 16).bitwiseAND(F.lit(width - 1))
 
-def _spread(signed: Column, width: int, sign: int) -> Column:
-    """The three cells of each of some (count, xor) digests, by place; ``sign`` multiplies counts."""
-    return F.flatten(F.transform(signed, lambda d: F.array(*(_cell(_place(d["x"], part, width), d["n"] * F.lit(sign), d["x"]) for part in range(3)))))
 
+def _at(i: Column, width: int) -> tuple[Column, Column]:
+    """Part and cell of a position in a sketch; widths are powers of two."""
+    return F.shiftright(i, width.bit_length() - 1), i.bitwiseAND(F.lit(width - 1)).cast("long")
 
-def merged(cells: Column) -> Column:
-    """Cells with those of one place added up and empty ones left out, in order of place."""
-    none = _cell(F.lit(-1), F.lit(0), F.lit(0).cast("long"))
-    start = F.struct(F.filter(cells, lambda c: F.lit(False)).alias("out"), none.alias("last"))
 
-    def closed(state: Column) -> Column:
-        empty = (state["last"]["n"] == 0) & (state["last"]["x"] == 0)
-        return F.when(empty, state["out"]).otherwise(F.concat(state["out"], F.array(state["last"])))
+def sketch(items: Column, width: int) -> Column:
+    """Cells of a set of digests: an array of (count, xor), part after part."""
 
-    def step(state: Column, c: Column) -> Column:
-        last = state["last"]
-        same = F.struct(state["out"].alias("out"), _cell(last["at"], last["n"] + c["n"], last["x"].bitwiseXOR(c["x"])).alias("last"))
-        return F.when(last["at"] == c["at"], same).otherwise(F.struct(closed(state).alias("out"), c.alias("last")))
+    def cell(i: Column) -> Column:
+        part, at = _at(i, width)
+        return let(
+            F.filter(items, lambda d: _place(d, part, width) == at),
+            lambda own: F.struct(F.size(own).alias("n"), F.aggregate(own, F.lit(0).cast("long"), lambda x, d: x.bitwiseXOR(d)).alias("x")),
+        )
 
-    return F.aggregate(F.array_sort(cells), start, step, closed)
+    return F.transform(F.sequence(F.lit(0), F.lit(3 * width - 1)), cell)
 
 
-def _signed(items: Column, n: int) -> Column:
-    return F.transform(items, lambda d: F.struct(F.lit(n).alias("n"), d.alias("x")))
+def subtract(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda p, q: F.struct((p["n"] - q["n"]).alias("n"), p["x"].bitwiseXOR(q["x"]).alias("x")))
 
 
-def sketch(items: Column, width: int) -> Column:
-    """Cells of a set of digests: an array of (place, count, xor), without empty cells."""
-    return merged(_spread(_signed(items, 1), width, 1))
+def difference(a: Column, b: Column, width: int) -> Column:
+    """``subtract(sketch(a), sketch(b))``, built in one go."""
 
+    def with_sign(items: Column, n: int) -> Column:
+        return F.transform(items, lambda d: F.struct(F.lit(n).alias("n"), d.alias("x")))
 
-def subtract(a: Column, b: Column) -> Column:
-    return merged(F.concat(a, F.transform(b, lambda c: _cell(c["at"], -c["n"], c["x"]))))
+    signed = F.concat(with_sign(a, 1), with_sign(b, -1))
 
+    def cell(items: Column, i: Column) -> Column:
+        part, at = _at(i, width)
+        own = F.filter(items, lambda d: _place(d["x"], part, width) == at)
+        return F.aggregate(own, F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("x")), lambda acc, d: F.struct((acc["n"] + d["n"]).alias("n"), acc["x"].bitwiseXOR(d["x"]).alias("x")))
 
-def difference(a: Column, b: Column, width: int) -> Column:
-    """``subtract(sketch(a), sketch(b))``, built in one go."""
-    return merged(_spread(F.concat(_signed(a, 1), _signed(b, -1)), width, 1))
+    return let(signed, lambda items: F.transform(F.sequence(F.lit(0), F.lit(3 * width - 1)), lambda i: cell(items, i)))
 
 
 def peel(cells: Column, width: int) -> Column:
@@ -107,26 +99,33 @@ def peel(cells: Column, width: int) -> Column:
     Count 1 stands for digests of the first text, -1 for those of the second.
     """
 
-    def pure(c: Column) -> Column:
-        low = c["x"].bitwiseAND(F.lit(_LOW))
-        part = F.floor(c["at"] / width)
-        own = F.call_function("shiftright", c["x"], (part * 16).cast("int")).bitwiseAND(F.lit(width - 1)) + part * width
-        return (F.abs(c["n"]) == 1) & (own == c["at"]) & (low.bitwiseOR(_check(low)) == c["x"])
+    def pure(cell: Column, i: Column) -> Column:
+        part, at = _at(i, width)
+        low = cell["x"].bitwiseAND(F.lit(_LOW))
+        one = (F.abs(cell["n"]) == 1) & (_place(cell["x"], part, width) == at) & (low.bitwiseOR(_check(low)) == cell["x"])
+        return F.when(one, cell)
 
     def all_pure(cells: Column) -> Column:
-        return F.array_distinct(F.transform(F.filter(cells, pure), lambda c: F.struct(c["n"].alias("n"), c["x"].alias("x"))))
+        return F.array_distinct(F.filter(F.transform(cells, pure), lambda p: p.isNotNull()))
+
+    def taken_out(cells: Column, found: Column) -> Column:
+        def cell(c: Column, i: Column) -> Column:
+            part, at = _at(i, width)
+            own = F.filter(found, lambda p: _place(p["x"], part, width) == at)
+            return F.aggregate(own, c, lambda acc, p: F.struct((acc["n"] - p["n"]).alias("n"), acc["x"].bitwiseXOR(p["x"]).alias("x")))
+
+        return F.transform(cells, cell)
 
     def step(state: Column, _: Column) -> Column:
         some = let(
-            merged(F.concat(state["cells"], _spread(state["fresh"], width, -1))),
+            taken_out(state["cells"], state["fresh"]),
             lambda left: F.struct(left.alias("cells"), all_pure(left).alias("fresh"), F.concat(state["found"], state["fresh"]).alias("found")),
         )
         return F.when(F.size(state["fresh"]) == 0, state).otherwise(some)
 
     def run(cells: Column) -> Column:
-        nothing = F.transform(F.filter(cells, lambda c: F.lit(False)), lambda c: F.struct(c["n"].alias("n"), c["x"].alias("x")))
-        start = F.struct(cells.alias("cells"), all_pure(cells).alias("fresh"), nothing.alias("found"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda end: F.when(F.size(end["cells"]) == 0, end["found"]))
+        start = F.struct(cells.alias("cells"), all_pure(cells).alias("fresh"), F.filter(cells, lambda c: F.lit(False)).alias("found"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda end: F.when(F.forall(end["cells"], lambda c: (c["n"] == 0) & (c["x"] == 0)), end["found"]))
 
     return let(cells, run)
 
@@ -139,17 +138,17 @@ def _counts(found: Column, way: int) -> Column:
 def differing(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
     """(a, b, way): how many digests only the first and only the second text has.
 
-    Fingerprints first (way 0), then groups with sketches of growing width (ways 1, 2 and 3, the
-    largest that a group took); digests of a group that no width resolves are compared as they are
-    (way 4).
+    Fingerprints first (way 0), then groups with sketches of growing width (ways 1 and 2, the
+    larger one that a group took); digests of a group that no width resolves (two sharing all
+    cells) are compared as they are (way 3).
     """
-    # Groups by digest bits, in two steps, so that a long text's digests are filtered twice the
-    # square root of its groups, not once for each group.
+    # Groups by digest bits that no width uses for places, in two steps, so that a long text's
+    # digests are filtered twice the square root of its groups, not once for each group.
     bits = F.greatest(F.lit(0), F.ceil(F.log2((F.size(a) + F.size(b) + 1) / F.lit(float(GROUP))))).cast("int")
     outer, inner = F.call_function("shiftleft", F.lit(1), F.shiftright(bits, 1)), F.call_function("shiftleft", F.lit(1), bits - F.shiftright(bits, 1))
 
     def members(items: Column, shift: int, count: Column, g: Column) -> Column:
-        return F.when(count == 1, items).otherwise(F.filter(items, lambda d: F.shiftright(d, shift).bitwiseAND(count.cast("long") - 1) == g))
+        return F.filter(items, lambda d: F.shiftright(d, shift).bitwiseAND(count.cast("long") - 1) == g)
 
     def compared(p: Column, q: Column) -> Column:
         tries = [_counts(peel(difference(p, q, w), w), way) for way, w in enumerate(RETRIES, 1)]
@@ -165,7 +164,7 @@ def differing(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Colum
 
     zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(1).alias("way"))
     total = let(F.struct(outer.alias("o"), inner.alias("i")), lambda n: over(n["o"], zero, a, b, 7, lambda acc, p, q: over(n["i"], acc, p, q, 23, add)))
-    # Three cells a digest: a difference that can't fit the fingerprint's cells needs no try.
+    # A difference of more digests than cells can't be peeled, so it isn't tried.
     fits = F.abs(F.size(a) - F.size(b)) <= 3 * WIDTH
     return F.coalesce(F.when(fits, _counts(peel(subtract(sketch_a, sketch_b), WIDTH), 0)), total)
 
@@ -178,24 +177,22 @@ def likeness(a: Column, b: Column, difference: Column) -> Column:
 
 
 def as_string(cells: Column, n_chars: Column) -> Column:
-    """A fingerprint in writing: the code points of the text, then place, count and xor of its cells."""
-    return F.concat_ws(";", n_chars.cast("string"), F.array_join(F.transform(cells, lambda c: F.concat(c["at"].cast("string"), F.lit(":"), c["n"].cast("string"), F.lit(":"), F.lower(F.hex(c["x"])))), ","))
+    """A fingerprint in writing: the code points of the text, then each cell's count and xor."""
+    return F.concat_ws(";", n_chars.cast("string"), F.array_join(F.transform(cells, lambda c: F.concat(c["n"].cast("string"), F.lit(":"), F.lower(F.hex(c["x"])))), ","))
 
 
-def _interval(key: Column, starts: list[int]) -> Column:
-    """The number, from 0, of the interval that ``key`` falls in; intervals begin at ``starts``."""
+def _longs(values: list[int]) -> Column:
+    """A constant array, as one short expression however long it is."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
-    def search(low: int, high: int) -> Column:
-        if high - low <= 1:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key < F.lit(starts[middle]), search(low, middle)).otherwise(search(middle, high))
 
-    return search(0, len(starts))
+def _last_start(starts: Column, key: Column) -> Column:
+    """The number, from 0, of the last of ascending ``starts`` that isn't over ``key``."""
+    return F.size(F.filter(starts, lambda s: s <= key)) - 1
 
 
-def _ranges(rows: DataFrame) -> Column:
-    """The range of each row's ``key`` and ``tie``: a long that ascends with them.
+def with_range(rows: DataFrame) -> DataFrame:
+    """``rows`` with the ``range`` of their ``key`` and ``tie``: a long that ascends with them.
 
     Ranges lie between quantiles, of all keys and then of those between two, and divide what lies
     between two of these in equal steps; so they follow the keys' distribution and their number
@@ -203,40 +200,39 @@ def _ranges(rows: DataFrame) -> Column:
     are divided by their ties.  What comes to the driver are quantiles and the counts of such keys,
     at most ``CUTS * CUTS`` of each.
     """
-    cuts = [i / CUTS for i in range(CUTS)]
+    cuts, key = [i / CUTS for i in range(CUTS)], F.col("key")
     ids = rows.select("key")
-    found = ids.agg(F.count("key").alias("n"), F.count_if(F.col("key").isNull()).alias("nulls"), F.min("key").alias("least"), F.percentile_approx("key", cuts, 10_000).alias("cuts")).first()
-    n, quantiles = found["n"], [found["least"], *(found["cuts"] or [])] if found["n"] else [0]
+    found = ids.agg(F.count("key").alias("n"), F.count_if(key.isNull()).alias("nulls"), F.min("key").alias("least"), F.percentile_approx("key", cuts, 10_000).alias("cuts")).first()
+    n, quantiles = found["n"], [found["least"], *found["cuts"]] if found["n"] else [0]
     coarse = sorted(set(quantiles))
     fine = [[c] for c in coarse]
     if n > RANGE_ROWS * CUTS:
-        bins = ids.where(F.col("key").isNotNull()).groupBy(_interval(F.col("key"), coarse).alias("bin")).agg(F.percentile_approx("key", cuts, 1_000).alias("cuts"))
+        bins = ids.where(key.isNotNull()).groupBy(_last_start(_longs(coarse), key).alias("bin")).agg(F.percentile_approx("key", cuts, 1_000).alias("cuts"))
         for row in bins.collect():
             quantiles += row["cuts"]
             fine[row["bin"]] = sorted({coarse[row["bin"]], *row["cuts"]})
-    several = sorted({q for q in quantiles if quantiles.count(q) > 2}) if n > RANGE_ROWS else []
-    hot = {r["key"]: r["count"] for r in ids.where(F.col("key").isin(several)).groupBy("key").count().collect()} if several else {}
+    several = [q for q, times in Counter(quantiles).items() if times > 2] if n > RANGE_ROWS else []
+    hot = {r["key"]: r["count"] for r in ids.where(key.isin(several)).groupBy("key").count().collect()} if several else {}
+    parts = {k: min(-(-c // RANGE_ROWS), 1 << 16) for k, c in hot.items() if c > RANGE_ROWS}
     starts = [s for part in fine for s in part]
-    ends = [*starts[1:], starts[-1] + 1]
-    first = [sum(map(len, fine[:i])) for i in range(len(fine))]
-    steps = max(1, n // (RANGE_ROWS * len(starts)))
-
-    def of(values: list, at: Column) -> Column:
-        return F.element_at(F.array(*map(F.lit, values)), at + 1)
-
-    key = F.col("key")
-    bin_ = _interval(key, coarse)
-    inside = F.size(F.filter(F.element_at(F.array(*(F.array(*map(F.lit, part)) for part in fine)), bin_ + 1), lambda s: s <= key)) - 1
-    at = F.coalesce(of(first, bin_) + inside, F.lit(len(starts)))
-    width = of(ends, at).cast("double") - of(starts, at).cast("double")
-    step = F.when(key == of(starts, at), 0).otherwise(1 + F.least(F.lit(steps - 1), F.floor((key.cast("double") - of(starts, at).cast("double")) * steps / width)))
-    parts = {k: -(-c // RANGE_ROWS) for k, c in hot.items() if c > RANGE_ROWS}
-    known = F.try_element_at(F.create_map(*(F.lit(x) for kv in parts.items() for x in kv)), key) if parts else F.lit(None).cast("int")
-    divided = F.when(key.isNull(), F.lit(-(-found["nulls"] // RANGE_ROWS))).otherwise(F.coalesce(known, F.lit(1)))
-    by_tie = F.floor(F.conv(F.substring("tie", 1, 8), 16, 10).cast("double") / float(1 << 32) * F.least(divided, F.lit(1 << 16)))
-    position = F.when(key.isNull(), F.lit(len(starts)).cast("long")).otherwise(at.cast("long"))
-    step = F.when(key.isNull(), F.lit(0)).otherwise(F.least(step, F.lit((1 << 24) - 1))).cast("long")
-    return F.shiftleft(position, 40) + F.shiftleft(step, 16) + F.when(step == 0, by_tie).otherwise(0).cast("long")
+    steps = max(1, min(n // (RANGE_ROWS * len(starts)), (1 << 24) - 2))
+
+    # A column at a time, so that no long expression is repeated.
+    rows = rows.withColumn("at", F.coalesce(_last_start(_longs(coarse), key), F.lit(0)))
+    if len(starts) > len(coarse):
+        first = [sum(map(len, fine[:i])) for i in range(len(fine))]
+        own = F.slice(_longs(starts), F.element_at(_longs(first), F.col("at") + 1).cast("int") + 1, F.element_at(_longs([*map(len, fine)]), F.col("at") + 1).cast("int"))
+        rows = rows.withColumn("at", F.element_at(_longs(first), F.col("at") + 1).cast("int") + F.coalesce(_last_start(own, key), F.lit(0)))
+    rows = rows.withColumn("start", F.element_at(_longs(starts), F.greatest(F.col("at"), F.lit(0)) + 1)).withColumn("end", F.element_at(_longs([*starts[1:], max(starts[-1], starts[-1] + 1)]), F.greatest(F.col("at"), F.lit(0)) + 1))
+    share = (key.cast("double") - F.col("start").cast("double")) * steps / F.greatest(F.col("end").cast("double") - F.col("start").cast("double"), F.lit(1.0))
+    step = F.when(key.isNull() | (key == F.col("start")), 0).otherwise(1 + F.least(F.lit(steps - 1), F.floor(share)))
+    rows = rows.withColumn("step", step.cast("long"))
+    known = F.try_element_at(F.map_from_arrays(_longs(list(parts)), _longs(list(parts.values()))), key) if parts else F.lit(None).cast("long")
+    divided = F.when(key.isNull(), F.lit(min(-(-found["nulls"] // RANGE_ROWS), 1 << 16))).otherwise(F.coalesce(known, F.lit(1)))
+    by_tie = F.floor(F.conv(F.substring("tie", 1, 8), 16, 10).cast("double") / float(1 << 32) * divided)
+    place = F.when(key.isNull(), F.lit(len(starts))).otherwise(F.col("at")).cast("long")
+    rows = rows.withColumn("range", F.shiftleft(place, 40) + F.shiftleft("step", 16) + F.when(F.col("step") == 0, by_tie).otherwise(0).cast("long"))
+    return rows.drop("at", "start", "end", "step")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -249,7 +245,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     # The complement of an id descends with it and, unlike its negative, always fits.
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.bitwise_not(F.col("doc_id").cast("long")))
     rows = rows.withColumn("tie", F.md5("text"))
-    rows = rows.withColumn("range", _ranges(rows))
+    rows = with_range(rows)
     place = F.struct(F.col("key").isNull().alias("none"), "key", "tie")
     firsts = materialize(rows.groupBy("range").agg(F.min(place).alias("first")), "iblt-firsts")
     # One small row per range meets here.
@@ -279,19 +275,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(F.col("n_chars") / 2).cast("int")
     staged = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     staged = staged.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
-    staged = staged.select("doc_id", "n_chars", F.length("edited").alias("edited_chars"), F.sha2("edited", 256).alias("edited_sha256"), *(digests(F.col(c)).alias(d) for c, d in (("text", "a"), ("edited", "e"), ("next_text", "x"))))
-    staged = staged.select("*", *(sketch(F.col(c), WIDTH).alias(f"sketch_{c}") for c in "aex"))
-    a = F.col("a")
-    near = [likeness(a, F.col(c), F.col(f"differing_{c}")) for c in "ex"]
-    staged = staged.select("*", *(differing(a, F.col(c), F.col("sketch_a"), F.col(f"sketch_{c}")).alias(f"differing_{c}") for c in "ex"))
+    # One expression each for the three texts and the two pairs.
+    of_texts = F.transform(F.array("text", "edited", "next_text"), digests)
+    staged = staged.select("doc_id", "n_chars", F.length("edited").alias("edited_chars"), F.sha2("edited", 256).alias("edited_sha256"), of_texts.alias("sets"))
+    staged = staged.select("*", F.transform("sets", lambda items: sketch(items, WIDTH)).alias("sketches"))
+    sets, sketches = F.col("sets"), F.col("sketches")
+    pairs = F.transform(F.sequence(F.lit(1), F.lit(2)), lambda i: F.struct(F.get(sets, i).alias("set"), F.get(sketches, i).alias("sketch")))
+    found = F.transform(pairs, lambda p: let(differing(sets[0], p["set"], sketches[0], p["sketch"]), lambda d: F.struct(likeness(sets[0], p["set"], d).alias("near"), d["way"].alias("way"))))
+    staged = staged.select("*", found.alias("found"))
     return staged.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        as_string(F.col("sketch_a"), F.col("n_chars")).alias("fingerprint"),
-        as_string(F.col("sketch_e"), F.col("edited_chars")).alias("edited_fingerprint"),
-        near[0].alias("near_edited"),
-        near[1].alias("near_next"),
-        F.col("differing_e.way").alias("way_edited"),
-        F.col("differing_x.way").alias("way_next"),
+        as_string(sketches[0], F.col("n_chars")).alias("fingerprint"),
+        as_string(sketches[1], F.col("edited_chars")).alias("edited_fingerprint"),
+        F.col("found")[0]["near"].alias("near_edited"),
+        F.col("found")[1]["near"].alias("near_next"),
+        F.col("found")[0]["way"].alias("way_edited"),
+        F.col("found")[1]["way"].alias("way_next"),
     )
