@@ -166,13 +166,13 @@ def curate(drafts: DataFrame, decisions: Mapping, image_coverage: DataFrame, lea
     """Curated questions and the rejected drafts: quality filters, decisions, negatives, image targets.
 
     ``decisions`` is what ``sources.readers.parse_decisions`` gives: accepted drafts (``id``, perhaps
-    an edited ``question``), rejected ids, and negative questions (``category, question``).
+    ``edited_question``), rejected ids, and negative questions (``category, question``).
     ``image_coverage`` has ``category, pct``.  A draft that passes without a decision, or a
     decision on another id, fails.
     """
     spark = drafts.sparkSession
     passed, rejected = benchmark.quality_split(drafts, **limits)
-    accepted = spark.createDataFrame([(a["id"], (a.get("question") or "").strip() or None) for a in decisions["accepted"]], "id string, edited string")
+    accepted = spark.createDataFrame([(a["id"], (a.get("edited_question") or a.get("question") or "").strip() or None) for a in decisions["accepted"]], "id string, edited string")
     refused = spark.createDataFrame([(r["id"],) for r in decisions["rejected"]], "id string")
     problems = benchmark.decision_problems(passed.select("id"), accepted.select("id"), refused).limit(20).collect()
     if problems:

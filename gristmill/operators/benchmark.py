@@ -175,6 +175,28 @@ def datasheet_stats(entries: DataFrame) -> DataFrame:
     )
 
 
+def curation_counts(questions: DataFrame, spec: DataFrame) -> DataFrame:
+    """``spec`` (``category, target, negative``) with ``n`` and ``n_negative`` questions of each category.
+
+    ``questions`` has ``category, is_negative``; one of a category that isn't in ``spec`` fails.
+    """
+    counts = questions.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_negative").alias("n_negative"))
+    both = spec.withColumn("_known", F.lit(True)).join(counts, "category", "full")
+    unknown = F.raise_error(F.concat(F.lit("unknown category "), F.coalesce("category", F.lit("null"))))
+    known = both.where(F.when(F.col("_known").isNull(), unknown).otherwise(F.lit(True))).drop("_known")
+    return known.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "n_negative")})
+
+
+def taxonomy_problems(spec: DataFrame, coverage: DataFrame, expected: int, tolerance: int, low: float, floor: float) -> DataFrame:
+    """``category, problem``: no negative questions, hardly mentioned (below ``floor``) or little mentioned
+    by the corpus (``category, pct``); and, without a category, a total off by more than ``tolerance``."""
+    pct = F.coalesce("pct", F.lit(0.0))
+    problems = F.filter(F.array(F.when(F.col("negative") == 0, "no_negatives"), F.when(pct < floor, "below_floor").when(pct < low, "low")), lambda x: x.isNotNull())
+    each = spec.join(coverage, "category", "left").select("category", F.explode(problems).alias("problem"))
+    total = spec.agg(F.coalesce(F.sum("target"), F.lit(0)).alias("n")).where(F.abs(F.col("n") - expected) > tolerance)
+    return each.unionByName(total.select(F.lit(None).cast("string").alias("category"), F.lit("total").alias("problem")))
+
+
 def image_targets(questions: DataFrame, coverage: DataFrame, least: float) -> DataFrame:
     """``image_target`` of each question: not negative, and of a category (``category, pct``) with enough photos."""
     joined = questions.join(coverage.select("category", F.col("pct").alias("_pct")), "category", "left")

@@ -124,7 +124,7 @@ def image_coverage(s, d):
     return rows.agg(F.coalesce(F.try_divide(F.count_if(F.expr("n_chars > 2000")) * 100.0, F.count(F.lit(1))), F.lit(0.0)).alias("pct"))
 
 
-_SPEC = [("de", 100, 5), ("en", 200, 20), ("es", 50, 5), ("it", 10, 0)]
+_SPEC = [("de", 100, 5), ("en", 200, 20), ("es", 50, 5), ("fr", 10, 0), ("it", 10, 0)]
 SPEC = "(VALUES " + ", ".join(f"('{c}', {n}, {m})" for c, n, m in _SPEC) + ") spec(category, target, negative)"
 
 
@@ -134,17 +134,14 @@ def spec(s):
 
 @query(f"SELECT category, count(doc_id) AS n, count(*) FILTER (WHERE quality = 0) AS n_negative, count(doc_id) = target AS ok FROM {SPEC} LEFT JOIN (SELECT * FROM documents JOIN labels USING (doc_id)) ON lang = category GROUP BY category, target")
 def curation_counts(s, d):
-    rows = table(s, d, "documents").join(table(s, d, "labels"), "doc_id").withColumnRenamed("lang", "category")
-    counts = rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("quality = 0")).alias("n_negative"))
-    n = F.coalesce("n", F.lit(0))
-    return spec(s).join(counts, "category", "left").select("category", n.alias("n"), F.coalesce("n_negative", F.lit(0)).alias("n_negative"), (n == F.col("target")).alias("ok"))
+    rows = table(s, d, "documents").join(table(s, d, "labels"), "doc_id").select(F.col("lang").alias("category"), (F.col("quality") == 0).alias("is_negative"))
+    return benchmark.curation_counts(rows, spec(s)).select("category", "n", "n_negative", (F.col("n") == F.col("target")).alias("ok"))
 
 
 @query(f"SELECT category, abs(coalesce(n, 0) - target) AS off FROM {SPEC} LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) ON lang = category WHERE coalesce(n, 0) <> target")
 def validate_curation(s, d):
-    counts = table(s, d, "documents").groupBy(F.col("lang").alias("category")).agg(F.count(F.lit(1)).alias("n"))
-    off = F.abs(F.coalesce("n", F.lit(0)) - F.col("target"))
-    return spec(s).join(counts, "category", "left").select("category", off.alias("off")).where("off <> 0")
+    rows = table(s, d, "documents").select(F.col("lang").alias("category"), F.lit(False).alias("is_negative"))
+    return benchmark.curation_counts(rows, spec(s)).select("category", F.abs(F.col("n") - F.col("target")).alias("off")).where("off <> 0")
 
 
 @query(f"SELECT CAST(sum(target) AS BIGINT) AS total, CAST(sum(negative) AS BIGINT) AS negatives, round(100.0::DOUBLE * sum(negative) / sum(target), 6) AS negative_pct FROM {SPEC}")
@@ -155,15 +152,13 @@ def taxonomy_totals(s, d):
 @query(
     f"""WITH cover AS (SELECT lang AS category, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM documents) AS pct FROM documents GROUP BY lang)
     SELECT category, problem FROM (SELECT category, unnest(list_filter([CASE WHEN negative = 0 THEN 'no_negatives' END, CASE WHEN coalesce(pct, 0) < 1 THEN 'below_floor' WHEN pct < 15 THEN 'low' END], lambda x: x IS NOT NULL)) AS problem
-    FROM {SPEC} LEFT JOIN cover USING (category))"""
+    FROM {SPEC} LEFT JOIN cover USING (category)) UNION ALL SELECT NULL, 'total' FROM {SPEC} HAVING abs(sum(target) - 400) > 5"""
 )
 def validate_taxonomy(s, d):
     docs = table(s, d, "documents")
     total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # over one row per category
-    cover = docs.groupBy(F.col("lang").alias("category")).agg(F.count(F.lit(1)).alias("n")).withColumn("pct", F.col("n") * 100.0 / total)
-    pct = F.coalesce("pct", F.lit(0.0))
-    problems = F.filter(F.array(F.when(F.col("negative") == 0, "no_negatives"), F.when(pct < 1, "below_floor").when(pct < 15, "low")), lambda x: x.isNotNull())
-    return spec(s).join(cover, "category", "left").select("category", F.explode(problems).alias("problem"))
+    cover = docs.groupBy(F.col("lang").alias("category")).agg(F.count(F.lit(1)).alias("n")).select("category", (F.col("n") * 100.0 / total).alias("pct"))
+    return benchmark.taxonomy_problems(spec(s), cover, 400, 5, 15.0, 1.0)
 
 
 @query(

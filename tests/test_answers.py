@@ -121,7 +121,7 @@ def test_reference_answers_and_selection(spark):
 def test_curation(spark):
     drafts = spark.createDataFrame([("fit_000", "fit", "Does it run small at all?"), ("fit_001", "fit", "Short?"), ("colour_000", "colour", "Which red is it really then?")], "id string, category string, question string")
     coverage = spark.createDataFrame([("fit", 10.0), ("colour", 60.0)], "category string, pct double")
-    decisions = {"accepted": [{"id": "fit_000", "question": " Does it run small? "}, {"id": "colour_000"}], "rejected": [], "negative_questions": [{"category": "fit", "question": "Is it edible?"}, {"category": "fit", "question": "Who made it?"}]}
+    decisions = {"accepted": [{"id": "fit_000", "edited_question": " Does it run small? "}, {"id": "colour_000"}], "rejected": [], "negative_questions": [{"category": "fit", "question": "Is it edible?"}, {"category": "fit", "question": "Who made it?"}]}
     limits = {"min_words": 3, "max_words": 20, "need_mark": True}
     questions, rejected = answers.curate(drafts, decisions, coverage, 40.0, **limits)
     got = {r.id: (r.question, r.is_negative, r.image_target) for r in questions.collect()}

@@ -69,6 +69,20 @@ def test_dense_search_equals_brute_force(spark):
     assert R.dense_top_k(vectors.limit(0), queries, 4).count() == 0 and R.dense_top_k(vectors, queries.limit(0), 4).count() == 0
 
 
+def test_parent_ids_and_curation_counts(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "review long, text string")
+    assert R.with_parent_ids(rows, "review").dtypes == [("text", "string"), ("doc_id", "string")]
+    with pytest.raises(ValueError, match="unique"):
+        R.with_parent_ids(rows.unionByName(rows), "review")
+    spec = spark.createDataFrame([("fit", 2, 1), ("dye", 1, 0)], "category string, target long, negative long")
+    asked = spark.createDataFrame([("fit", True), ("fit", False)], "category string, is_negative boolean")
+    assert sorted(tuple(r) for r in benchmark.curation_counts(asked, spec).collect()) == [("dye", 1, 0, 0, 0), ("fit", 2, 1, 2, 1)]
+    with pytest.raises(Exception, match="unknown category odd"):
+        benchmark.curation_counts(asked.unionByName(spark.createDataFrame([("odd", True)], asked.schema)), spec).collect()
+    coverage = spark.createDataFrame([("fit", 9.0)], "category string, pct double")
+    assert sorted(map(str, (tuple(r) for r in benchmark.taxonomy_problems(spec, coverage, 9, 1, 10.0, 1.0).collect()))) == sorted(map(str, [("fit", "low"), ("dye", "no_negatives"), ("dye", "below_floor"), (None, "total")]))
+
+
 def test_contexts_search_deep_and_collapse(spark, docs, questions):
     known = docs.withColumn("has_image", F.col("doc_id") == 2)
     chunks = R.chunk_fixed(known, 2)
