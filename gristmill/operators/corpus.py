@@ -235,6 +235,19 @@ def log_histogram(values: DataFrame, column: str, bins: int, highest: float) ->
     return values.groupBy(at.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def describe(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per numeric column: ``n, mean, std, least, q25, q50, q75, most`` of the values there are, in one pass.
+
+    Quantiles are exact and interpolated: partial aggregates hold a count for each distinct value.
+    """
+    parts = []
+    for c in columns:
+        value = F.col(c).cast("double")
+        cuts = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        parts.append(F.struct(F.lit(c).alias("column"), F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), *(F.get(cuts, F.lit(i)).alias(q) for i, q in enumerate(("q25", "q50", "q75"))), F.max(value).alias("most")))
+    return rows.agg(F.array(*parts).alias("c")).select(F.inline("c"))
+
+
 def duplicate_keys(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

@@ -272,7 +272,11 @@ def fuzzy_dedup(s, d):
     return benchmark.fuzzy_dedup(table(s, d, "benchmark").withColumn("category", F.lit("all")), "category", "item_id", "text").select("item_id")
 
 
-@query()
+@query("""SELECT DISTINCT sha256('{"model":"echo","prompt":"' || md5(text) || '"}') AS key, upper(md5(text)) AS response FROM benchmark""")
 def response_cache(s, d):
-    prompts = table(s, d, "benchmark").select(F.col("text").alias("prompt"))
-    return benchmark.complete(prompts, None, lambda p: p.upper()[:40], {"model": "echo"}).select("key", "response")
+    """Every question's digest as a prompt, half of them answered before; the model says it in capitals."""
+    prompts = table(s, d, "benchmark").select("item_id", F.md5("text").alias("prompt"))
+    middle = prompts.agg(F.percentile_approx("item_id", 0.5)).first()[0]
+    call, settings = lambda p: p.upper(), {"model": "echo"}
+    earlier = benchmark.complete(prompts.where(F.col("item_id") <= middle), None, call, settings)
+    return benchmark.complete(prompts, earlier, call, settings).select("key", "response")

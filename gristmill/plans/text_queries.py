@@ -345,6 +345,13 @@ def seeded_shuffle(s, d):
     return table(s, d, "documents").select("doc_id", corpus.seeded_order("doc_id", 42).alias("key")).orderBy("key")
 
 
-@query()
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS least, round(quantile_cont({c}, 0.25), 6) AS q25,
+        round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75, CAST(max({c}) AS DOUBLE) AS most FROM lineitem"""
+        for c in ("l_quantity", "l_extendedprice", "l_discount")
+    )
+)
 def describe(s, d):
-    return table(s, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount").summary()
+    rows = corpus.describe(table(s, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return rows.withColumns({c: F.round(c, 6) for c in ("mean", "std", "q25", "q50", "q75")})
