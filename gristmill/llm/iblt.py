@@ -187,8 +187,8 @@ def _longs(values: list[int]) -> Column:
 
 
 def _last_start(starts: Column, key: Column) -> Column:
-    """The number, from 0, of the last of ascending ``starts`` that isn't over ``key``."""
-    return F.size(F.filter(starts, lambda s: s <= key)) - 1
+    """The number, from 0, of the last of ascending ``starts`` that isn't over ``key``; 0 without a key."""
+    return F.greatest(F.size(F.filter(starts, lambda s: s <= key)) - 1, F.lit(0))
 
 
 def with_range(rows: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def with_range(rows: DataFrame) -> DataFrame:
     """
     cuts, key = [i / CUTS for i in range(CUTS)], F.col("key")
     ids = rows.select("key")
-    found = ids.agg(F.count("key").alias("n"), F.count_if(key.isNull()).alias("nulls"), F.min("key").alias("least"), F.percentile_approx("key", cuts, 10_000).alias("cuts")).first()
+    found = ids.agg(F.count("key").alias("n"), F.count_if(key.isNull()).alias("nulls"), F.min("key").alias("least"), F.max("key").alias("most"), F.percentile_approx("key", cuts, 10_000).alias("cuts")).first()
     n, quantiles = found["n"], [found["least"], *found["cuts"]] if found["n"] else [0]
     coarse = sorted(set(quantiles))
     fine = [[c] for c in coarse]
@@ -218,13 +218,17 @@ def with_range(rows: DataFrame) -> DataFrame:
     steps = max(1, min(n // (RANGE_ROWS * len(starts)), (1 << 24) - 2))
 
     # A column at a time, so that no long expression is repeated.
-    rows = rows.withColumn("at", F.coalesce(_last_start(_longs(coarse), key), F.lit(0)))
+    rows = rows.withColumn("at", _last_start(_longs(coarse), key))
     if len(starts) > len(coarse):
         first = [sum(map(len, fine[:i])) for i in range(len(fine))]
         own = F.slice(_longs(starts), F.element_at(_longs(first), F.col("at") + 1).cast("int") + 1, F.element_at(_longs([*map(len, fine)]), F.col("at") + 1).cast("int"))
-        rows = rows.withColumn("at", F.element_at(_longs(first), F.col("at") + 1).cast("int") + F.coalesce(_last_start(own, key), F.lit(0)))
-    rows = rows.withColumn("start", F.element_at(_longs(starts), F.greatest(F.col("at"), F.lit(0)) + 1)).withColumn("end", F.element_at(_longs([*starts[1:], max(starts[-1], starts[-1] + 1)]), F.greatest(F.col("at"), F.lit(0)) + 1))
-    share = (key.cast("double") - F.col("start").cast("double")) * steps / F.greatest(F.col("end").cast("double") - F.col("start").cast("double"), F.lit(1.0))
+        rows = rows.withColumn("at", F.element_at(_longs(first), F.col("at") + 1).cast("int") + _last_start(own, key))
+    rows = rows.withColumn("start", F.element_at(_longs(starts), F.col("at") + 1)).withColumn("end", F.element_at(_longs([*starts[1:], found["most"] or 0]), F.col("at") + 1))
+
+    def beyond_start(c: Column) -> Column:  # as exact as a long can tell
+        return F.coalesce(F.try_subtract(c, F.col("start")).cast("double"), c.cast("double") - F.col("start").cast("double"))
+
+    share = beyond_start(key) * steps / F.greatest(beyond_start(F.col("end")), F.lit(1.0))
     step = F.when(key.isNull() | (key == F.col("start")), 0).otherwise(1 + F.least(F.lit(steps - 1), F.floor(share)))
     rows = rows.withColumn("step", step.cast("long"))
     known = F.try_element_at(F.map_from_arrays(_longs(list(parts)), _longs(list(parts.values()))), key) if parts else F.lit(None).cast("long")

@@ -58,3 +58,28 @@ def test_lone_and_no_documents(spark):
     one = iblt.fingerprints(spark.createDataFrame([(1, "a. b. c. d", "", 0)], SCHEMA)).first()
     assert one.near_next == pytest.approx(1.0)
     assert iblt.fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_ranges_ascend_and_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(iblt, "RANGE_ROWS", 20)
+    monkeypatch.setattr(iblt, "CUTS", 6)
+    rnd = random.Random(9)
+    keys = [rnd.randrange(10**6) for _ in range(600)] + [10**15 + rnd.randrange(10**4) for _ in range(300)] + [77] * 500 + [None] * 400 + [-(2**63), 2**63 - 1]
+    rows = [(k, hashlib.md5(str(rnd.random()).encode()).hexdigest()) for k in keys]
+    got = iblt.with_range(spark.createDataFrame(rows, "key long, tie string")).collect()
+    order = sorted(got, key=lambda r: (r.key is None, r.key or 0, r.tie))
+    ranges = [r.range for r in order]
+    assert len(got) == len(rows) and ranges == sorted(ranges)
+    sizes = {r: ranges.count(r) for r in set(ranges)}
+    assert max(sizes.values()) <= 100 and len(sizes) >= 40
+    for few in ([], [(None, "00" * 16)], [(5, "00" * 16)]):
+        assert iblt.with_range(spark.createDataFrame(few, "key long, tie string")).count() == len(few)
+
+
+def test_fingerprints_equal_brute_force_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(iblt, "RANGE_ROWS", 3)
+    monkeypatch.setattr(iblt, "CUTS", 4)
+    rnd = random.Random(16)
+    rows = [(rnd.choice([7, None, rnd.randrange(-(10**9), 10**9)]), f"text {rnd.randrange(10**6)}. more {i}\nend", "", 0) for i in range(120)] + [(-(2**63), "least id. yes", "", 0)]
+    got = iblt.fingerprints(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got), key=str) == sorted(brute(rows), key=str)
