@@ -60,17 +60,26 @@ def _at(i: Column, width: int) -> tuple[Column, Column]:
     return F.shiftright(i, width.bit_length() - 1), i.bitwiseAND(F.lit(width - 1)).cast("long")
 
 
+def _cells(width: int, cell: Callable[[Column, Callable[[Column], Column]], Column]) -> Column:
+    """``cell(at, place)`` for every cell, part after part; ``place`` gives a digest's cell in the part."""
+
+    def part(n: int) -> Column:
+        place = lambda d: F.shiftright(d, 16 * n).bitwiseAND(F.lit(width - 1))
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")), lambda at: cell(at, place))
+
+    return F.concat(*map(part, range(3)))
+
+
 def sketch(items: Column, width: int) -> Column:
     """Cells of a set of digests: an array of (count, xor), part after part."""
 
-    def cell(i: Column) -> Column:
-        part, at = _at(i, width)
+    def cell(at: Column, place: Callable[[Column], Column]) -> Column:
         return let(
-            F.filter(items, lambda d: _place(d, part, width) == at),
+            F.filter(items, lambda d: place(d) == at),
             lambda own: F.struct(F.size(own).alias("n"), F.aggregate(own, F.lit(0).cast("long"), lambda x, d: x.bitwiseXOR(d)).alias("x")),
         )
 
-    return F.transform(F.sequence(F.lit(0), F.lit(3 * width - 1)), cell)
+    return _cells(width, cell)
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -85,12 +94,11 @@ def difference(a: Column, b: Column, width: int) -> Column:
 
     signed = F.concat(with_sign(a, 1), with_sign(b, -1))
 
-    def cell(items: Column, i: Column) -> Column:
-        part, at = _at(i, width)
-        own = F.filter(items, lambda d: _place(d["x"], part, width) == at)
+    def cell(items: Column, at: Column, place: Callable[[Column], Column]) -> Column:
+        own = F.filter(items, lambda d: place(d["x"]) == at)
         return F.aggregate(own, F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("x")), lambda acc, d: F.struct((acc["n"] + d["n"]).alias("n"), acc["x"].bitwiseXOR(d["x"]).alias("x")))
 
-    return let(signed, lambda items: F.transform(F.sequence(F.lit(0), F.lit(3 * width - 1)), lambda i: cell(items, i)))
+    return let(signed, lambda items: _cells(width, lambda at, place: cell(items, at, place)))
 
 
 def peel(cells: Column, width: int) -> Column:
