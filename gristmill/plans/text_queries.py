@@ -41,7 +41,7 @@ _KINDS = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "str
     )
 )
 def schema_summary(s, d):
-    return readers.schema_summary(table(s, d, "documents"))
+    return readers.schema_summary(table(s, d, "documents"), "doc_id")
 
 
 @query("SELECT doc_id, lang FROM documents")

@@ -60,17 +60,23 @@ def sample_head(rows: DataFrame, n: int, *order: str) -> DataFrame:
     return (rows.orderBy(*order) if order else rows).limit(n)
 
 
-def schema_summary(rows: DataFrame) -> DataFrame:
+def schema_summary(rows: DataFrame, *order: str) -> DataFrame:
     """Per column: type, nulls, their share in percent, and an example of at most 120 characters:
-    the first value there is, in the order of the rows as they are read."""
+    the first value there is by ``order``, nulls last, then in the order of the rows as they are read.
+
+    Files are read in an order that depends on their number and sizes, so only ``order`` tells
+    which value is the example of a table of several files.
+    """
     n = F.count(F.lit(1))
+    at = F.struct(*(x for i, c in enumerate(order) for x in (F.col(f"`{c}`").isNull().alias(f"none{i}"), F.col(f"`{c}`").alias(f"key{i}"))), F.col("_at"))
     parts = []
     for field in rows.schema:
         c = F.col(f"`{field.name}`")
         nulls = F.count_if(c.isNull())
         shown = F.to_json(c) if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)) else c.cast("string")
-        example = F.min_by(F.substring(shown, 1, 120), F.when(c.isNotNull(), F.col("_at")))
-        parts.append(F.struct(F.lit(field.name).alias("column"), F.lit(field.dataType.simpleString()).alias("dtype"), nulls.alias("null_count"), F.bround(F.try_divide(nulls * 100.0, n), 2).alias("null_pct"), example.alias("example")))
+        example = F.min_by(F.substring(shown, 1, 120), F.when(c.isNotNull(), at))
+        share = F.rint(F.try_divide(nulls * 100.0, n) * 100) / 100
+        parts.append(F.struct(F.lit(field.name).alias("column"), F.lit(field.dataType.simpleString()).alias("dtype"), nulls.alias("null_count"), share.alias("null_pct"), example.alias("example")))
     return rows.withColumn("_at", F.monotonically_increasing_id()).agg(F.array(*parts).alias("c")).select(F.inline("c"))
 
 

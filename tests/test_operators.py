@@ -200,6 +200,17 @@ def test_sources_and_sinks(spark, tmp_path):
         readers.parse_decisions('{"accepted": [{"id": "a"}], "rejected": [{"id": "a"}]}')
 
 
+def test_schema_summary_in_order(spark, tmp_path):
+    # The larger file is read first and holds the later ids; 23 nulls of 4000 are 0.575 %, a bit less as a double.
+    spark.range(100, 4000).selectExpr("id AS doc_id", "CASE WHEN id >= 123 THEN concat('late ', id) END AS text").coalesce(1).write.parquet(str(tmp_path / "t"))
+    spark.range(1, 100).selectExpr("id AS doc_id", "concat('early ', id) AS text").union(spark.sql("SELECT CAST(NULL AS LONG), 'no id'")).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    found = {r["column"]: r for r in readers.schema_summary(rows, "doc_id").collect()}
+    assert (found["doc_id"].example, found["text"].example) == ("1", "early 1")
+    assert (found["text"].null_count, found["text"].null_pct) == (23, 0.57)
+    assert readers.schema_summary(rows.where("doc_id IS NULL"), "doc_id").where("column = 'text'").first().example == "no id"
+
+
 def test_stream_drops_copies(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text("".join(json.dumps({"ts": f"2024-01-01T00:0{i % 5}:00Z", "text": f"some   text {i % 3}"}) + "\n" for i in range(9)) + '{"ts": "2024-01-01T00:00:00Z", "text": "x"}\n')
