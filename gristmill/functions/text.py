@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # Fixed values that results depend on.
 TOKEN = r"(?U)\w+|[^\w\s]"
-WORD_RUN = r"[a-z0-9]+"
+BETWEEN_WORDS = r"[^a-z0-9]+"
 CITATION = r"\[(\w+)\]"
 PHOTO_CITATION = r"\[photo of (\w+)\]"
 BRACKET = r"\[[^\]]*\]"
@@ -46,7 +46,8 @@ def token_len(c: Column | str) -> Column:
 
 
 def search_tokens(c: Column | str) -> Column:
-    return F.regexp_extract_all(F.lower(text_of(c)), F.lit(WORD_RUN), 0)
+    # What lies between two words is shorter to match than a word.
+    return F.array_remove(F.split(F.lower(text_of(c)), BETWEEN_WORDS), "")
 
 
 def normalize_question(c: Column | str) -> Column:

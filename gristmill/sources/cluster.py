@@ -55,7 +55,7 @@ def clean(spark: SparkSession) -> None:
     root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
-def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, path: str | None = None, options: dict | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder (or at ``path``) and return a scan of it.
 
     This cuts lineage in a way that outlives executors: a later stage rereads files instead of
@@ -63,5 +63,5 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -200,6 +200,29 @@ def test_sources_and_sinks(spark, tmp_path):
         readers.parse_decisions('{"accepted": [{"id": "a"}], "rejected": [{"id": "a"}]}')
 
 
+def test_bm25_moves_the_best_of_each_task_only(spark):
+    def written():
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    docs = spark.range(0, 2000, 1, 4).selectExpr("id AS doc_id", "concat('the ', id % 7, ' and ', id % 3) AS text").where("doc_id >= 0")
+    queries = spark.range(20).selectExpr("id AS query_id", "concat('the and ', id % 7) AS text")
+    index = R.BM25(docs)
+    before = written()
+    hits = index.search_batch(queries, 3).collect()
+    # 40,000 pairs share a word.
+    assert len(hits) == 60 and written() - before < 2000
+    assert [h.doc_id for h in sorted(hits, key=lambda h: h["rank"]) if h.query_id == 5] == [5, 12, 19]
+
+
+def test_bm25_shows_what_scores_zero_before_what_scores_less(spark):
+    # A word in most documents weighs less than nothing here: the second has none of it.
+    docs = spark.createDataFrame([("a", "x"), ("b", ""), ("c", "x"), ("dd", "x")], "doc_id string, text string")
+    queries = spark.createDataFrame([(1, "x"), (2, "zzz"), (3, None)], "query_id long, text string")
+    hits = sorted(R.BM25(docs).search_batch(queries, 2).collect(), key=lambda h: (h.query_id, h["rank"]))
+    assert [h.doc_id for h in hits] == ["b", "a", "a", "b", "a", "b"] and hits[0].score == 0.0 > hits[1].score
+
+
 def test_schema_summary_in_order(spark, tmp_path):
     # The larger file is read first and holds the later ids; 23 nulls of 4000 are 0.575 %, a bit less as a double.
     spark.range(100, 4000).selectExpr("id AS doc_id", "CASE WHEN id >= 123 THEN concat('late ', id) END AS text").coalesce(1).write.parquet(str(tmp_path / "t"))
