@@ -74,9 +74,11 @@ def chunking_study(docs: DataFrame, schemes: Mapping[str, ChunkingConfig], quest
     """Chunking schemes compared by recall: (summary in order of scheme and ``k``, question scores)."""
     parts = []
     for label, config in schemes.items():
-        chunks = R.check_chunks(R.chunk(docs, config.scheme, config.fixed_token_size, config.sentence_window_size))
+        chunks = R.chunk(docs, config.scheme, config.fixed_token_size, config.sentence_window_size)
+        # Ids alone are written; texts are made once more for the index.
+        parents = R.check_chunks(materialize(chunks.select("chunk_id", "parent_doc_id"), "study-parents"))
         retriever = build(chunks.select(F.col("chunk_id").alias("doc_id"), "text"))
-        parts.append(score_retriever(retriever, chunks, questions, qrels, ks, multiplier).select(F.lit(label).alias("scheme"), "query_id", "type", "k", "recall"))
+        parts.append(score_retriever(retriever, parents, questions, qrels, ks, multiplier).select(F.lit(label).alias("scheme"), "query_id", "type", "k", "recall"))
     scores = materialize(reduce(DataFrame.unionByName, parts), "study-scores")
     return summarize_with_intervals(scores, ["scheme", "k"], ["recall"], n_boot=n_boot, alpha=alpha, seed=seed), scores
 

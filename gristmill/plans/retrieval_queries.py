@@ -167,10 +167,11 @@ def studied(s, d) -> tuple[DataFrame, DataFrame]:
         lexical = R.BM25(docs)
         found = [r.search_batch(questions, K).withColumn("retriever", F.lit(name)) for name, r in (("bm25", lexical), ("dense", R.Dense(docs, R.hashing_encoder)))]
         hits = materialize(found[0].unionByName(found[1]), "study-hits")
-        terms = questions.select("query_id", F.explode(F.array_distinct(X.search_tokens("text"))).alias("term"))
-        size = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-        share = hits.select("query_id", "doc_id").distinct().join(terms, "query_id").join(lexical.tf, ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-        qrels = share.join(size, "query_id").where("2 * n >= n_terms").select("query_id", "doc_id")
+        # Hits are few and written: the postings of the documents found are picked out where they lie.
+        terms = questions.select("query_id", F.array_distinct(X.search_tokens("text")).alias("asked"))
+        pairs = lexical.postings.select("doc_id", "terms").join(hits.select("query_id", "doc_id").distinct(), "doc_id").join(terms, "query_id")
+        shared = F.size(F.array_intersect("terms", "asked"))
+        qrels = pairs.where((shared > 0) & (2 * shared >= F.size("asked"))).select("query_id", "doc_id")
         _studied[at] = hits, materialize(qrels, "study-qrels")
     return _studied[at]
 

@@ -120,6 +120,20 @@ def test_chunking_study(spark, docs, questions, qrels):
     assert {r.query_id for r in scores.collect()} == {1, 2} and all(r.recall == 1.0 for r in scores.where("k = 3 AND query_id = 1").collect())
 
 
+def test_chunking_study_moves_no_pairs(spark):
+    def written():
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    many = spark.range(0, 3000, 1, 4).selectExpr("id AS doc_id", "concat('the fit of ', id % 7) AS text")
+    asked = spark.range(20).selectExpr("id AS query_id", "concat('the fit ', id % 7) AS text", "'fit' AS type")
+    gold = spark.range(20).selectExpr("id AS query_id", "id % 7 AS doc_id")
+    before = written()
+    summary, _ = studies.chunking_study(many, {"whole": configs.ChunkingConfig("whole_review")}, asked, gold, (1, 3), n_boot=20)
+    assert [(r.k, r.n_questions) for r in summary.collect()] == [(1, 20), (3, 20)]
+    assert written() - before < 30_000  # 60,000 pairs share a word
+
+
 def test_winloss_document(spark, docs, questions, qrels):
     hits = spark.createDataFrame([(1, "bm25", 1, 1, 2.5), (1, "dense", 3, 1, 0.5)], "query_id long, retriever string, doc_id long, rank int, score double")
     chosen = spark.createDataFrame([(1, "bm25")], "query_id long, winner string")
