@@ -29,6 +29,8 @@ GROUP, ROUNDS = 8, 12
 ENDS = r"\n+|(?<=[.!?])\s+"
 #: Rows in one range of ids, and the quantiles, of all ids and of those between two, that ranges are laid between.
 RANGE_ROWS, CUTS = 4_000, 64
+#: First rows of ranges (about 100 bytes each) that may be broadcast.
+RING = 1_000_000
 
 _LOW = (1 << 48) - 1
 
@@ -264,7 +266,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     ring = Window.partitionBy(F.lit(1)).orderBy("range")
     before = F.coalesce(F.lag("range").over(ring), F.max("range").over(Window.partitionBy(F.lit(1))))
     firsts = materialize(firsts.select(F.col("range").alias("own_range"), before.alias("range_before"), F.col("first.tie").alias("first_tie")), "iblt-ring")
-    edge = rows.join(firsts, (F.col("range") == F.col("own_range")) & (F.col("tie") == F.col("first_tie")))
+    # Told to, as texts would move a second time to meet them; of a checked size.
+    few = F.broadcast(firsts) if firsts.count() <= RING else firsts
+    edge = rows.join(few, (F.col("range") == F.col("own_range")) & (F.col("tie") == F.col("first_tie")))
     # Several rows may have the first one's text; any of them serves.
     edge = edge.groupBy("range_before").agg(F.min_by("text", place).alias("text"))
     everything = rows.select("range", "doc_id", "key", "text", "tie", F.lit(0).alias("edge"))

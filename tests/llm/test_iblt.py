@@ -83,3 +83,16 @@ def test_fingerprints_equal_brute_force_over_many_ranges(spark, monkeypatch):
     rows = [(rnd.choice([7, None, rnd.randrange(-(10**9), 10**9)]), f"text {rnd.randrange(10**6)}. more {i}\nend", "", 0) for i in range(120)] + [(-(2**63), "least id. yes", "", 0)]
     got = iblt.fingerprints(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
     assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got), key=str) == sorted(brute(rows), key=str)
+
+
+def test_texts_move_once(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = iblt.with_next(docs)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert {r.doc_id: r.next_text for r in rows.collect()} == {i: f"text {(i - 1) % 300}" for i in range(300)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
